@@ -208,14 +208,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, and of rows that share an id one row."""
     verdict = scratch.table(near_duplicates(docs, id_col, text_col), "verdict")
-    gone = scratch.table(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = scratch.table(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_tessera_gone")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
-    again = verdict.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_tessera_gone"), "left_anti")
+    again = verdict.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_tessera_again"))
     again = scratch.table(again, "again")
     if again.isEmpty():
         return left
-    same = F.col(f"`{id_col}`").cast("long") == F.col("_again")
+    same = F.col(f"`{id_col}`").cast("long") == F.col("_tessera_again")
     twice = left.join(again, same, "left_semi")
     choice = twice.groupBy(id_col).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"))).alias("_row"))
     return left.join(again, same, "left_anti").unionByName(choice.select("_row.*"))

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import decontaminate, language, neardup, quality, repetition, tokens, warc
+from tessera.llm import decontaminate, language, licenses, mixing, neardup, quality, repetition, secrets, tokens, warc
 from tessera.shipping import ship
 
 LEARNS_LANGUAGE = "pmod(crc32(cast(doc_id as string)), 4) <> 2"
@@ -21,6 +21,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    f = F.col("_tessera_found")
+    return found.select(
+        "doc_id",
+        f["n_candidates"].alias("n_candidates"),
+        F.size(f["findings"]).cast("long").alias("n_findings"),
+        F.transform(f["findings"], lambda x: x["start"].cast("long")).alias("starts"),
+        F.coalesce(F.array_max(F.transform(f["findings"], lambda x: x["score"])), F.lit(0.0)).alias("score"),
+        F.sha2(F.coalesce(f["redacted"], "text", F.lit("")), 256).alias("redacted_sha256"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -33,6 +46,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -71,14 +88,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicated(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_decontamination": op2_decontamination,
+    "op3_licenses": op3_licenses,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
+    "op10_mixing": op10_mixing,
 }
 
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"

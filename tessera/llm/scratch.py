@@ -7,12 +7,15 @@ so a lost executor costs only the tasks that read them.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[str, list[str]] = {}
+_made: dict[tuple[str, str], list[str]] = {}
+_group = ""
 
 
 def root(spark: SparkSession) -> str:
@@ -28,11 +31,11 @@ def root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{root(spark)}/tessera-{uuid.uuid4().hex}/{name}"
-    app = spark.sparkContext.applicationId
-    if app not in _made:
-        _made[app] = []
-        atexit.register(release, spark)
-    _made[app].append(path)
+    key = (spark.sparkContext.applicationId, _group)
+    if key not in _made:
+        _made[key] = []
+        atexit.register(release, spark, _group)
+    _made[key].append(path)
     return path
 
 
@@ -51,16 +54,28 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table made so far in this application.
+def release(spark: SparkSession, group: str = "") -> None:
+    """Delete the tables that a group made so far in this application.
 
     Only for callers whose earlier results are all written elsewhere.
     """
     if spark.sparkContext._jsc is None:
         return
-    paths = _made.get(spark.sparkContext.applicationId, [])
+    paths = _made.get((spark.sparkContext.applicationId, group), [])
     while paths:
         try:
             delete(spark, paths.pop().rpartition("/")[0])
         except Exception:  # the session is going down; files of a stopped application are swept with its folder
             return
+
+
+@contextlib.contextmanager
+def step(spark: SparkSession, group: str) -> Iterator[None]:
+    """A step of a chain whose results are written before the next step begins: what earlier steps left goes first."""
+    global _group
+    release(spark, group)
+    before, _group = _group, group
+    try:
+        yield
+    finally:
+        _group = before
