@@ -1,0 +1,115 @@
+"""The corpus queries against SQL, brute force, round trips and held-out rows."""
+
+from __future__ import annotations
+
+import re
+import zlib
+from pathlib import Path
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+
+import corpus_pipeline  # noqa: E402
+from tessera.llm import licenses, queries  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for n in ("documents", "benchmark", "pages", "labels"):
+        c.sql(f"CREATE VIEW {n} AS SELECT * FROM '{SF}/{n}.parquet'")
+    return c
+
+
+@pytest.fixture(scope="module")
+def texts(duck):
+    return dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLE[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+
+
+def test_licenses_base(spark, texts):
+    for r in queries.op3_licenses(spark, SF).collect():
+        w = licenses.words_of(texts[r["doc_id"]])
+        places = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in licenses.BASE}
+        every = sum(places.values(), [])
+        labels = {licenses.BASE[p] for p, x in places.items() if x}
+        assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(every), min(every, default=None), max(every, default=None), ",".join(sorted(labels)))
+        assert labels <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
+
+
+def test_language_held_out(spark, duck):
+    lang = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())
+    rows = queries.op5_language(spark, SF).collect()
+    assert len(rows) == len(lang)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_quality_held_out(spark, duck):
+    label = dict(duck.sql("SELECT doc_id, quality FROM labels").fetchall())
+    rows = queries.op6_quality(spark, SF).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in label]
+    assert sum(r["predicted"] == label[r["doc_id"]] for r in held) >= 0.9 * len(held)
+
+
+def test_tokens_are_the_library_s(spark, texts):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in queries.op8_token_counts(spark, SF).collect():
+        text = texts[r["doc_id"]]
+        n = len(library.encode(text))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 4096)
+
+
+def test_mix_meets_its_targets(spark, texts):
+    rows = queries.op10_mixing(spark, SF).collect()
+    assert all(r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]])) and 0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{SF}/documents.parquet'").fetchall())
+    for s in set(source.values()):
+        mine = [r for r in rows if source[r["doc_id"]] == s]
+        assert sum(r["size"] for r in mine) == mine[0]["source_size"]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.03 * mine[0]["target"]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op10_mixing(spark, SF).collect()))
+
+
+def test_secrets_found_and_masked(spark, texts):
+    for r in queries.op1_secrets(spark, SF).collect():
+        want = [m.start(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', texts[r["doc_id"]])]
+        assert list(r["starts"]) == want == [] or list(r["starts"]) == want
+
+
+def test_pipeline_by_brute_force(spark, duck, texts):
+    """What each stage keeps, recomputed from SQL and plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "mixing":
+            assert out.columns == docs.columns and out.schema == docs.schema
+        rows = out.collect()
+        seen.append((name, {r["doc_id"] for r in rows}, rows))
+        docs = spark.createDataFrame(rows, out.schema)
+    ids = {n: k for n, k, _ in seen}
+    assert ids["language"] == {d for d, t in texts.items() if re.search(r"[^\W\d_]", t)}
+    graph = {r[0]: r[1] for r in duck.sql(f"SELECT doc_id, component_id FROM ({queries.ORACLE['op4_near_duplicates']})").fetchall()}
+    assert ids["near_duplicates"] == {min(d for d in ids["language"] if graph[d] == c) for c in {graph[d] for d in ids["language"]}}
+    hit = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({queries.ORACLE['op2_decontamination']}) WHERE contaminated").fetchall()}
+    assert ids["decontamination"] == ids["near_duplicates"] - hit == ids["secrets"] == ids["mixing"]
+    for r in seen[3][2]:
+        assert not re.search(r'(?i)token = "[0-9a-f]{40}"', r["text"]) and r["n_chars"] == len(r["text"])
