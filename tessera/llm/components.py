@@ -59,14 +59,16 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select("v", F.col("low").alias("m"))).filter("v <> m").distinct()
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Every node points to one other, which points to none."""
+    roles = e.select(F.col("v").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("held")).union(e.select("m", F.lit(0), F.lit(1)).distinct())
+    return roles.groupBy("node").agg(F.sum("points").alias("points"), F.max("held").alias("held")).filter("points > 1 or (points = 1 and held = 1)").isEmpty()
+
+
 def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``v, m``: each node that is not the smallest of its component, and that smallest node."""
-    e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).filter("v <> m").mapInArrow(_contract, "v long, m long")
+    e = edges.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("m")).filter("v <> m").mapInArrow(_contract, "v long, m long")
     now = scratch.table(e.distinct(), "edges")
-    seen = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return now
-        seen = state
+    while not _is_stars(now):
         now = scratch.table(_small_star(_large_star(now)), "stars")
+    return now

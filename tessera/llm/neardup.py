@@ -6,13 +6,19 @@ correlated, which lowers the variance, and a text stops drawing as soon as no
 later rank can lower any slot.
 
 Texts with equal shingle sets form a class, which one representative (the
-smallest doc_id) stands for. Representatives that share a band are candidates.
-A bucket of candidates is compared with a few centres first; components then
-close most buckets, and only pairs of a bucket that still lie in different
-components are compared further, with more centres in each round until every
-such pair was. Each link is confirmed on the full shingle sets of both texts.
-With 40 bands of 5 slots a pair at similarity 0.75 is missed with probability
-2e-5, at 0.8 with 1e-7.
+smallest doc_id) stands for. Representatives that share a band are candidates;
+with 40 bands of 5 slots a pair at similarity 0.75 is missed with probability
+2e-5, at 0.8 with 1e-7. Members of a bucket are first compared with its centre,
+its smallest member. Only pairs of a bucket that then still lie in different
+components are considered further, and an exact bound spares most of those:
+both texts' differences from the centre are known, and to be similar enough
+two texts must share many of them. What the bound leaves is compared, too.
+Each link is confirmed on the full shingle sets of both texts.
+
+The bound: let R be the centre's shingles that x lacks, A those of x that the
+centre lacks, E their union and w = 4 |R| + 3 |A|. With centre size c, x and y
+link exactly if 7 |E(x) and E(y) common| >= w(x) + w(y) - c, and a 512-bit map
+of each E bounds the common part from above.
 
 Defined cases: a text without words (or null) has an empty set, links with
 nothing and is kept; fewer words than a shingle are one shingle; rows that
@@ -37,9 +43,10 @@ BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
 #: 100 * intersection >= THRESHOLD * union
 THRESHOLD = 75
+#: words of 64 bits of a difference map
+MAP = 8
 #: ids up to which a table of them is broadcast (8 bytes each); beyond, it is shuffled
 BROADCAST_IDS = 2_000_000
-CENTRES = 4
 _TOP = U64(52)
 
 
@@ -135,21 +142,58 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each pair links, and how a differs from b: the size of b and its key, w, |E| and the map of E."""
+    bit = U64(1) << np.arange(64, dtype=np.uint64)
     for batch in batches:
         for part in pieces(pieces(iter([batch]), "text_a"), "text_b"):
-            ok = []
-            for x, y in zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            ok, figures, maps = [], [], np.zeros((part.num_rows, MAP * 64), bool)
+            for k, (x, y) in enumerate(zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")), strict=True)):
+                apart = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(apart)) // 2
                 ok.append(both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+                maps[k, (mix(apart) >> U64(55)).astype(np.int64)] = True
+                figures.append((len(y), int(np.add.reduce(y).view(np.int64)) if len(y) else 0, 4 * (len(y) - both) + 3 * (len(x) - both), len(apart)))
+            words = (maps.reshape(-1, MAP, 64) * bit).sum(axis=2, dtype=np.uint64).view(np.int64)
+            columns = [part.column("a"), part.column("b"), pa.array(ok, pa.bool_()), *(pa.array(c, pa.int64()) for c in np.array(figures, np.int64).reshape(-1, 4).T), *(pa.array(c) for c in words.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "size", "key", "w", "differ", *(f"m{i}" for i in range(MAP))])
+
+
+_TESTED = "a long, b long, linked boolean, size long, key long, w long, differ long, " + ", ".join(f"m{i} long" for i in range(MAP))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The tested pairs, with whether they link."""
+    """The tested pairs, with whether they link and how they differ."""
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return scratch.table(met.mapInArrow(_linked, "a long, b long, linked boolean"), "tested")
+    return scratch.table(met.mapInArrow(_linked, _TESTED), "tested")
+
+
+def _pairs(component: DataFrame) -> DataFrame:
+    return component.select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+
+def _open(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members, with their components, of the buckets that hold more than one component."""
+    placed = members.join(component.withColumnsRenamed({"v": "rep", "m": "root"}), "rep", "left").select("bucket", "rep", "centre", F.coalesce("root", "rep").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    return scratch.table(placed.join(split, "bucket"), "open")
+
+
+def _possible(open_: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs of a bucket and of different components that the bound does not rule out."""
+    differ = tested.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "size", "key", "w", "differ", *(f"m{i}" for i in range(MAP)))
+    known = scratch.table(open_.join(differ, ["rep", "centre"]), "known")
+    heads = open_.filter("rep = centre").select("bucket", F.col("root").alias("main"))
+    # a pair of different components has a member outside the centre's component
+    outside = known.join(heads, "bucket").filter("root <> main").drop("main")
+    x, y = outside.alias("x"), known.select("bucket", *(F.col(c).alias(f"y_{c}") for c in known.columns if c != "bucket"))
+    need = F.col("w") + F.col("y_w") - F.col("size")
+    only = lambda p, q: sum((F.bit_count(F.col(f"{p}m{i}").bitwiseAND(F.bitwise_not(f"{q}m{i}"))) for i in range(MAP)), F.lit(0))
+    common = F.least(F.col("differ") - only("", "y_"), F.col("y_differ") - only("y_", ""))
+    fits = (F.col("root") != F.col("y_root")) & (F.col("key") == F.col("y_key")) & (7 * common >= need)
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & fits).select(F.greatest("rep", "y_rep").alias("a"), F.least("rep", "y_rep").alias("b")).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,24 +220,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = members.groupBy(F.col("rep").alias("a")).agg(F.min("centre").alias("b")).filter("b < a")
         tested = _verify(first, texts)
         component = stars(tested.filter("linked"))
-        round_ = 0
-        while True:
-            placed = members.join(component.withColumnsRenamed({"v": "rep", "m": "root"}), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-            split = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket", "n")
-            placed = scratch.table(placed.join(split, "bucket"), "open")
-            share = F.lit(float(CENTRES * 8**round_)) / F.col("n")
-            centre = placed.filter(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("bucket", F.col("rep").alias("other"), F.col("root").alias("other_root"))
-            pairs = placed.join(centre, "bucket").filter("root <> other_root").select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct()
-            pairs = scratch.table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            more = pairs.count()
-            if more:
-                now = _verify(pairs, texts)
-                tested = tested.union(now)
-                if not now.filter("linked").isEmpty():
-                    component = stars(component.select(F.col("v").alias("a"), F.col("m").alias("b")).union(now.filter("linked").select("a", "b")))
-            elif (placed.agg(F.max("n")).first()[0] or 0) <= CENTRES * 8**round_:
-                break
-            round_ += 1
+        more = _open(members, component).filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+        again = _verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts)
+        tested = tested.union(again)
+        component = stars(_pairs(component).union(again.filter("linked").select("a", "b")))
+        last = _verify(_possible(_open(members, component), tested), texts)
+        component = stars(_pairs(component).union(last.filter("linked").select("a", "b")))
     named = classes.select("high", "low", "rep", "size")
     if component is not None:
         named = named.join(component.withColumnsRenamed({"v": "rep", "m": "root"}), "rep", "left").select("high", "low", "size", "rep", F.coalesce("root", "rep").alias("root"))
