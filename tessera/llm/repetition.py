@@ -31,7 +31,7 @@ class Rules:
     #: largest share of words in repeated windows, in percent
     most_repeated: int = 30
     #: largest share of word characters in repeated substrings, in percent
-    most_covered: int = 25
+    most_covered: int = 30
     #: longest repeated substring that is let pass, in words
     longest: int = 50
 

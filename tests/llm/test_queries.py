@@ -113,3 +113,29 @@ def test_pipeline_by_brute_force(spark, duck, texts):
     assert ids["decontamination"] == ids["near_duplicates"] - hit == ids["secrets"] == ids["mixing"]
     for r in seen[3][2]:
         assert not re.search(r'(?i)token = "[0-9a-f]{40}"', r["text"]) and r["n_chars"] == len(r["text"])
+
+
+def test_licenses_method_by_brute_force(spark, texts):
+    """Labels and scores from every offset of every template in every file."""
+    words = {d: licenses.words_of(t) for d, t in texts.items()}
+    lowered = {d: set(re.findall(licenses.WORD, t.lower())) for d, t in texts.items()}
+    frequency = {w: sum(w in s for s in lowered.values()) for w in licenses.VOCABULARY}
+    ordered = sorted(licenses.VOCABULARY, key=lambda w: (frequency[w], w))
+    some = 0
+    for r in queries.op3_licenses(spark, SF).collect():
+        w = words[r["doc_id"]]
+        flat, held = f" {' '.join(w)} ", set(w)
+        rare = {x for x in ordered if x in held}
+        rare = set([x for x in ordered if x in rare][: licenses.RAREST])
+        labels, score = set(filter(None, r["base_labels"].split(","))), float(r["n_base"] > 0)
+        for label, text, key in licenses.TEMPLATES:
+            at = [(i, x) for i, x in enumerate(licenses.words_of(text)) if x in rare]
+            if f" {key} " in flat and at:
+                for begin in range(-len(w), len(w)):
+                    share = sum(0 <= begin + i < len(w) and w[begin + i] == x for i, x in at) / len(at)
+                    if share >= licenses.AGREE:
+                        labels.add(label)
+                        score = max(score, share)
+        assert (r["labels"], round(r["score"], 9)) == (",".join(sorted(labels)), round(min(1.0, score), 9))
+        some += bool(labels)
+    assert some
