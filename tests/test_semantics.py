@@ -197,3 +197,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert rows(spark.table("seen")) == rows(windowed_counts(batch))
+
+
+def test_yaml_model(spark, tmp_path, tables):
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "shop.yaml").write_text(yaml.safe_dump(SHOP))
+    c = Catalog(spark, tables.__getitem__, tmp_path)
+    assert c.reload() == ["shop"] and rows(ask(c, "shop", "orders", ["revenue"])) == [(23.5,)]
