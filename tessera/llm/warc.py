@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.llm import scratch
 
 END = "\r\n\r\n"
-#: payload bytes of an archive, about; a reader holds one archive at a time
+#: payload bytes of an archive, about (a longer payload is one of its own); a reader task holds one archive at a time
 ARCHIVE_BYTES = 24_000_000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -57,10 +57,16 @@ def _record(kind: Column, page_id: Column, url: Column, digest: Column, size: Co
     )
 
 
-def write(records: DataFrame, path: str) -> None:
-    """Write ``page_id, url, payload, record_type, refers_to, payload_digest, payload_bytes`` as archives under ``path``."""
+def records_per_archive(sizes: DataFrame, column: Column) -> int:
+    """Records that come to about ARCHIVE_BYTES, by their mean size and some headers."""
+    mean = sizes.agg(F.avg(column)).first()[0] or 0.0
+    return max(1, int(ARCHIVE_BYTES / (mean + 500)))
+
+
+def write(records: DataFrame, path: str, most: int) -> None:
+    """Write ``page_id, url, payload, record_type, refers_to, payload_digest, payload_bytes`` as archives of ``most`` records under ``path``."""
     text = _record(F.col("record_type"), F.col("page_id"), F.col("url"), F.col("payload_digest"), F.col("payload_bytes"), F.col("refers_to"), F.col("payload"))
-    records.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    records.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _pages(source: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -140,15 +146,11 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     return files.mapInArrow(_reader(payloads), RECORDS + (", payload string" if payloads else ""))
 
 
-def _spread(df: DataFrame, total: int) -> DataFrame:
-    """Rows dealt to archives of about ARCHIVE_BYTES."""
-    return df.repartition(max(1, -(-total // ARCHIVE_BYTES)))
-
-
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write each row as a response record."""
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    write(pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes")), path)
+    most = records_per_archive(pages, F.octet_length(payload))
+    write(pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes")), path, most)
 
 
 def verdicts(headers: DataFrame, least: int = 1000) -> DataFrame:
@@ -165,7 +167,7 @@ def resolve(spark: SparkSession, source: str, target: str, least: int = 1000) ->
     records = read(spark, source, payloads=True).drop("record_type", "refers_to")
     met = records.join(repeat.withColumnsRenamed({"page_id": "rid", "payload_digest": "rdigest"}), F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("payload_digest") == F.col("rdigest")), "left")
     fresh = met.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.col("to").alias("refers_to"), F.when(F.col("to").isNull(), "response").otherwise("revisit").alias("record_type"))
-    write(fresh, target)
+    write(fresh, target, records_per_archive(headers, F.col("payload_bytes")))
 
 
 def deduplicated(pages: DataFrame, least: int = 1000) -> DataFrame:
