@@ -65,6 +65,8 @@ def _letters(texts: pa.Array) -> np.ndarray:
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
+        #: bytes of text at a time: a word takes a float for each language
+        self.batch = 16_000_000 // max(8, len(languages))
         rest = 0.1
         self.table = np.log((counts + rest) / (counts.sum(axis=0) + rest * BUCKETS)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
 
@@ -172,7 +174,7 @@ def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in pieces(batches, "__text"):
+        for part in pieces(batches, "__text", m.batch):
             names, score, shares = m.predict(part.column("__text"))
             mixture = [[{"lang": m.languages[k], "share": float(row[k])} for k in np.argsort(-row, kind="stable").tolist() if row[k] >= 0.005] if ok != "und" else [] for row, ok in zip(shares, names, strict=True)]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
@@ -187,7 +189,7 @@ def known_language(docs: DataFrame, model: Model, keep: set[str] | None = None,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, text_col):
+        for part in pieces(batches, text_col, shared.value.batch):
             names = shared.value.predict(part.column(text_col))[0]
             yield part.filter(pa.array([x != "und" and (keep is None or x in keep) for x in names]))
 
