@@ -52,14 +52,17 @@ def targets(sources: DataFrame, weights: tuple[int, ...], total: float, most: fl
     return rows.withColumn("target", F.least("cap", F.coalesce(fixed * F.col("weight"), F.col("cap")))).drop("weight", "cap", "ratio", "level")
 
 
-def permuted(j: Column, a: Column, b: Column, *keys: Column, rounds: int = 4) -> Column:
-    """The image of j in [0, a * b) under the pseudorandom permutation that ``keys`` name."""
-    x = j % a
-    y = ((j - x) / a).cast("long")
+def permute(df: DataFrame, index: str, a: str, b: str, keys: list[str], out: str, rounds: int = 4) -> DataFrame:
+    """Adds ``out``: the image of ``index`` in [0, a * b) under the pseudorandom permutation that ``keys`` name.
+
+    Each half round is a column of its own, so that no round is computed more than once.
+    """
+    named = [F.col(k) for k in keys]
+    df = df.withColumn("_x", F.col(index) % F.col(a)).withColumn("_y", ((F.col(index) - F.col("_x")) / F.col(a)).cast("long"))
     for r in range(rounds):
-        x = F.pmod(x + F.pmod(F.xxhash64(y, F.lit(2 * r + SEED), *keys), a), a)
-        y = F.pmod(y + F.pmod(F.xxhash64(x, F.lit(2 * r + 1 + SEED), *keys), b), b)
-    return x + a * y
+        df = df.withColumn("_x", F.pmod(F.col("_x") + F.pmod(F.xxhash64("_y", F.lit(2 * r + SEED), *named), F.col(a)), F.col(a)))
+        df = df.withColumn("_y", F.pmod(F.col("_y") + F.pmod(F.xxhash64("_x", F.lit(2 * r + 1 + SEED), *named), F.col(b)), F.col(b)))
+    return df.withColumn(out, F.col("_x") + F.col(a) * F.col("_y")).drop("_x", "_y")
 
 
 def _key(source: Column) -> Column:
@@ -110,20 +113,22 @@ def slots(placed: DataFrame) -> DataFrame:
     """Every slot of the mix: number, slot, block, shard."""
     sources = placed.select("number", "a", "b", "n", "slots").distinct()
     sources = sources.withColumn("shards", F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("slots").over(Window.partitionBy()) / SHARD_SLOTS)))
+    # the number of tasks follows the slots: what a row expands to is not in its size
+    total = sources.agg(F.sum("slots")).first()[0] or 0
     parts = sources.filter("slots > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOTS_A_ROW}"))))
-    parts = parts.repartition("number", "part")
+    parts = parts.repartition(max(1, -(-int(total) // (16 * SLOTS_A_ROW))), "number", "part")
     first = F.col("part") * SLOTS_A_ROW
     every = parts.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_A_ROW, F.col("slots")) - 1)))
-    epoch = F.expr("slot div n")
-    block = permuted(F.col("slot") % F.col("n"), F.col("a"), F.col("b"), F.col("number"), epoch)
+    every = every.withColumn("index", F.col("slot") % F.col("n")).withColumn("epoch", F.expr("slot div n"))
     shard = F.pmod(F.xxhash64("number", "slot", F.lit(SEED)), F.col("shards"))
-    return every.select("number", "slot", block.alias("block"), shard.alias("shard"))
+    return permute(every, "index", "a", "b", ["number", "epoch"], "block").select("number", "slot", "block", shard.alias("shard"))
 
 
 def mix(docs: DataFrame, placed: DataFrame | None = None, **options) -> DataFrame:
     """The mix as parts of documents: shard, number (source), slot, block, row, doc_id, first, words."""
     placed = layout(docs, **options) if placed is None else placed
-    return slots(placed).join(pieces(placed), ["number", "block"])
+    # both sides grow beyond what their sources' sizes tell the planner, so neither may be broadcast
+    return slots(placed).hint("merge").join(pieces(placed).hint("merge"), ["number", "block"])
 
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

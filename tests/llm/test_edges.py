@@ -306,7 +306,7 @@ def test_mixing(docs, none):
 
 def test_permutation_is_one(spark):
     for a, b in ((1, 1), (1, 7), (5, 13), (31, 33)):
-        df = spark.range(a * b).select(mixing.permuted(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit(3)).alias("p"))
+        df = mixing.permute(spark.range(a * b).withColumns({"a": F.lit(a).cast("long"), "b": F.lit(b).cast("long"), "k": F.lit(3)}), "id", "a", "b", ["k"], "p")
         assert sorted(r["p"] for r in df.collect()) == list(range(a * b))
 
 
