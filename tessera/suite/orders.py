@@ -179,17 +179,29 @@ def project_limit(t: Tables) -> DataFrame:
     return sort(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), [SortKey("l_orderkey"), SortKey("l_linenumber")], 1000)
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS added, l_quantity - l_tax AS taken, l_extendedprice * l_discount AS times, -l_quantity AS minus,
+_ARITHMETIC = """SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS added, l_quantity - l_tax AS taken, l_extendedprice * l_discount AS times, -l_quantity AS minus,
 l_extendedprice / nullif(l_discount, 0) AS per, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' ELSE 'large' END AS class,
-CAST(l_quantity AS BIGINT) AS whole FROM lineitem WHERE l_orderkey <= 500""")
-def project_arithmetic(t: Tables) -> DataFrame:
+CAST(l_quantity AS BIGINT) AS whole FROM lineitem"""
+
+
+def arithmetic(lines: DataFrame) -> DataFrame:
     q, d = F.col("l_quantity"), F.col("l_discount")
-    return t.lineitem.filter("l_orderkey <= 500").select(
+    return lines.select(
         "l_orderkey", "l_linenumber", (q + F.col("l_tax")).alias("added"), (q - F.col("l_tax")).alias("taken"), (F.col("l_extendedprice") * d).alias("times"), (-q).alias("minus"),
         F.try_divide("l_extendedprice", d).alias("per"), F.when(q < 10, "small").when(q < 30, "medium").otherwise("large").alias("class"), q.cast("bigint").alias("whole"),
     )
 
 
+@query(f"{_ARITHMETIC} WHERE l_orderkey <= 500")
+def project_arithmetic(t: Tables) -> DataFrame:
+    return arithmetic(t.lineitem.filter("l_orderkey <= 500"))
+
+
+@query(_ARITHMETIC)
+def project_arithmetic_whole(t: Tables) -> DataFrame:
+    return arithmetic(t.lineitem)
+
+
 def _some_orders(t: Tables) -> DataFrame:
     return t.orders.filter("o_orderkey % 5 <> 0 AND o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
 
