@@ -52,6 +52,11 @@ def filter_columns(t: Tables) -> DataFrame:
     return t.orders.filter("o_totalprice > o_custkey * 10.0D AND o_orderkey % 3 = 1").agg(rows())
 
 
+@query("SELECT count(*) AS n FROM orders WHERE o_totalprice > o_custkey * 10.0")
+def filter_columns_whole(t: Tables) -> DataFrame:
+    return t.orders.filter("o_totalprice > o_custkey * 10.0D").agg(rows())
+
+
 @query("""SELECT l_returnflag, round(sum(l_extendedprice), 4) AS total_price, round(avg(l_discount), 6) AS avg_discount, count(*) AS n
 FROM lineitem GROUP BY l_returnflag""")
 def agg_returnflag(t: Tables) -> DataFrame:
@@ -236,6 +241,35 @@ def join_anti(t: Tables) -> DataFrame:
     return join(_some_customers(t), _some_orders(t), ["c_custkey"], ["o_custkey"], "anti")
 
 
+# Whole orders with whole customers. Every customer has orders and every order a customer, so a
+# condition on the status leaves unmatched rows on both sides; the inner join needs none.
+_FINISHED = "o_custkey = c_custkey AND o_orderstatus = 'F'"
+
+
+def _whole(kind: str):
+    on = "o_custkey = c_custkey" if kind == "inner" else _FINISHED
+
+    @query(f"SELECT o_orderkey, o_totalprice, c_custkey, c_name FROM orders {kind.upper()} JOIN customer ON {on}", f"join_{kind}_whole")
+    def run(t: Tables) -> DataFrame:
+        residual = None if kind == "inner" else F.col("o_orderstatus") == "F"
+        orders, customers = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), t.customer.select("c_custkey", "c_name")
+        return join(orders, customers, ["o_custkey"], ["c_custkey"], kind, residual).select("o_orderkey", "o_totalprice", "c_custkey", "c_name")
+
+
+for _kind in ("inner", "left", "right", "full"):
+    _whole(_kind)
+
+
+def _customers_by_orders(kind: str, word: str):
+    @query(f"SELECT c_custkey, c_name FROM customer WHERE {word} (SELECT 1 FROM orders WHERE {_FINISHED})", f"join_{kind}_whole")
+    def run(t: Tables) -> DataFrame:
+        return join(t.customer.select("c_custkey", "c_name"), t.orders.select("o_custkey", "o_orderstatus"), ["c_custkey"], ["o_custkey"], kind, F.col("o_orderstatus") == "F")
+
+
+_customers_by_orders("semi", "EXISTS")
+_customers_by_orders("anti", "NOT EXISTS")
+
+
 @query("""SELECT a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_tax AS l_tax_right FROM lineitem a JOIN (SELECT * FROM lineitem WHERE l_tax > 0.04) b
 ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_quantity < 20""")
 def join_multikey(t: Tables) -> DataFrame:
