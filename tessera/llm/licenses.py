@@ -1,11 +1,10 @@
-"""License scans by a positional index of rare tokens.
+"""License scans by a positional index of licence words.
 
-Document frequencies of all licence words over the whole corpus give their
-weights. Of each file that holds some mandatory key phrase, the highest-weight
-licence words are looked up; their positions meet the templates' postings, and
-postings of one template that agree on its relative position count together.
-A template is found where the agreeing part of what was looked up is large
-enough and its mandatory key phrase stands in the file.
+Of each file that holds some mandatory key phrase, the words of the
+templates with that phrase are looked up, all of them; their positions meet the
+templates' postings, and postings of one template that agree on its relative
+position count together. A template is found where the agreeing part of what
+was looked up is large enough and its mandatory key phrase stands in the file.
 
 Base phrases are reported wherever their words stand consecutively, whatever
 the method finds.
@@ -26,7 +25,7 @@ from tessera.llm import scratch
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: licence words looked up in a file, the rarest first
+#: licence words looked up in a file by the SQL form, the rarest first; the scan looks up all words of verified templates
 RAREST = 16
 #: share of a template's looked-up words that must agree on its position
 AGREE = 0.6
@@ -83,14 +82,6 @@ def may_match(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """In how many rows each licence word occurs, and all rows under the empty word. As many figures as there are licence words."""
-    words = F.regexp_extract_all(F.lower(F.col(f"`{text_col}`")), F.lit(WORD), F.lit(0))
-    mine = F.array_append(F.array_intersect(words, F.array(*map(F.lit, VOCABULARY))), F.lit(""))
-    counted = docs.select(F.explode(F.coalesce(mine, F.array(F.lit("")))).alias("word")).groupBy("word").count()
-    return {r["word"]: r["count"] for r in counted.collect()}
-
-
 def _places(words: Column, phrase: str) -> Column:
     parts = phrase.split()
     n = F.size(words)
@@ -104,7 +95,7 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(n >= len(parts), F.filter(F.sequence(F.lit(0), n - len(parts)), at)).otherwise(F.array().cast("array<int>"))
 
 
-def _postings(spark, frequency: dict[str, int]) -> DataFrame:
+def _postings(spark) -> DataFrame:
     rows = [f"({k}, '{label}', '{key}', '{w}', {i})" for k, (label, text, key) in enumerate(TEMPLATES) for i, w in enumerate(words_of(text))]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(template, label, key, word, at)")
 
@@ -116,31 +107,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    frequency = document_frequency(src)
-    rarest = sorted(VOCABULARY, key=lambda w: (frequency.get(w, 0), w))  # highest inverse frequency first
-    ordered = F.array(*map(F.lit, rarest))
 
     maybe = may_match(F.col("text"))
     low = F.translate("text", UPPER, LOWER)
     flat = F.concat(F.lit(" "), F.regexp_replace(low, _BREAK, " "), F.lit(" "))
     texts = src.filter(maybe).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"), flat.alias("flat"))
     held = [F.when(F.col("flat").contains(f" {key} "), F.lit(k)) for k, (_, _, key) in enumerate(TEMPLATES)]
-    looked = F.slice(F.array_intersect(ordered, F.col("words")), 1, RAREST)
-    texts = texts.withColumn("verified", F.array_compact(F.array(*held))).withColumn("rare", looked)
+    texts = texts.withColumn("verified", F.array_compact(F.array(*held)))
+    own = [F.when(F.array_contains("verified", k), F.array(*map(F.lit, sorted(set(words_of(text)))))).otherwise(F.array().cast("array<string>")) for k, (_, text, _) in enumerate(TEMPLATES)]
+    looked = F.array_intersect(F.flatten(F.array(*own)), F.col("words"))
+    texts = texts.withColumn("looked", F.when(F.size("verified") > 0, looked))
     for k, phrase in enumerate(BASE):
         texts = texts.withColumn(f"base{k}", F.when(F.col("flat").contains(f" {phrase} "), _places(F.col("words"), phrase)).otherwise(F.array().cast("array<int>")))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains(F.col("rare"), x["word"]))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains(F.col("looked"), x["word"]))
     texts = scratch.table(texts.withColumn("hits", F.when(F.size("verified") > 0, hits)).drop("words", "flat"), "licensed")
 
     # places of the looked-up words against the postings of the verified templates, by relative position
-    postings = F.broadcast(_postings(spark, frequency))  # one row per template word
-    each = texts.filter(F.size("verified") > 0).select("row", "verified", "rare", F.explode("hits").alias("hit")).select("row", "verified", "rare", F.col("hit.word").alias("word"), F.col("hit.pos").alias("pos"))
+    postings = F.broadcast(_postings(spark))  # one row per template word
+    each = texts.filter(F.size("verified") > 0).select("row", "verified", "looked", F.explode("hits").alias("hit")).select("row", "verified", "looked", F.col("hit.word").alias("word"), F.col("hit.pos").alias("pos"))
     met = each.join(postings, "word").filter(F.array_contains("verified", F.col("template")))
-    agreed = met.groupBy("row", "template", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("rare").alias("rare"))
+    agreed = met.groupBy("row", "template", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("looked").alias("looked"))
     # how many of a template's words the file looked up
     sizes = F.lit(0)
     for k, (_, text, _) in enumerate(TEMPLATES):
-        sizes = F.when(F.col("template") == k, F.aggregate(F.array(*map(F.lit, words_of(text))), F.lit(0), lambda s, w: s + F.array_contains(F.col("rare"), w).cast("int"))).otherwise(sizes)
+        sizes = F.when(F.col("template") == k, F.aggregate(F.array(*map(F.lit, words_of(text))), F.lit(0), lambda s, w: s + F.array_contains(F.col("looked"), w).cast("int"))).otherwise(sizes)
     shares = agreed.withColumn("share", F.col("n") / F.greatest(F.lit(1), sizes)).filter(F.col("share") >= AGREE)
     best = shares.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("label", "begin", "share"))).alias("found"))
 
