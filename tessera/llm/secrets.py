@@ -1,7 +1,8 @@
 """Secret scans: candidate tokens, judged by a random forest.
 
-A candidate is a maximal run of letters, digits and ``+ / _ -`` with a digit
-and LEAST characters or more. Its length, character transitions, dictionary
+A candidate is a value assigned to a secret's name, whatever its characters and
+length; a run with a known prefix; or a maximal run of letters, digits and
+``+ / _ -`` with a digit and LEAST characters or more. Its length, character transitions, dictionary
 coverage, path and neighbouring words go to a forest that was trained on
 labelled findings and drops false positives. The forest lies in flat arrays
 and is walked by column expressions, so a scan is one pass without a shuffle.
@@ -29,7 +30,17 @@ MARK = "[REDACTED]"
 TREES, DEPTH = 24, 7
 
 _RUN = "[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<!{_RUN})[A-Za-z+/_-]*+[0-9]{_RUN}*+"
+_NAMES = "secret|token|passw|pwd|api.?key|auth|credential|private|bearer|access"
+_PREFIX = "(?:AKIA|ASIA|ghp_|gho_|glpat-|sk_live|sk-|xox[abp]-|AIza|eyJ)"
+#: what stands before an assigned value; the first part is cheap and fails at most places
+_ASSIGNED = r"[:=][ \t]{0,3}[\"'(]{0,2}"
+_ASKED = rf"(?i:{_NAMES})[A-Za-z0-9_.-]{{0,16}}[\"'\])]{{0,2}}[ \t]{{0,3}}:?{_ASSIGNED}"
+_VALUE = r"[^\s\"'`,;()<>\[\]{}]"
+CANDIDATE = (
+    rf"(?<={_ASSIGNED})(?<={_ASKED})(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|(?![:=]){_VALUE}*[^\s\"'`,;()<>\[\]{{}}.?:])"
+    rf"|(?<!{_RUN}){_PREFIX}{_RUN}++"
+    rf"|(?<!{_RUN})[A-Za-z+/_-]*+[0-9]{_RUN}*+"
+)
 
 # Frequent English letter pairs, for character transitions.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra li ch ll be ma si om ur".split()
@@ -38,7 +49,7 @@ DICTIONARY = "placeholder changeme redacted example sample default password user
 
 FEATURES = [
     "length", "digits", "upper", "lower", "hex", "distinct", "class_changes", "common_pairs", "doubled", "covered", "separators",
-    "asked_for", "assigned", "benign", "quoted", "test_path", "config_path", "known_prefix", "number",
+    "asked_for", "assigned", "benign", "quoted", "test_path", "config_path", "known_prefix", "number", "symbols", "spaces", "call",
 ]
 
 
@@ -66,14 +77,17 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         share(r"(.)(?=\1)"),
         1.0 - F.length(F.regexp_replace(low, dictionary, "")) / n,
         share("[+/_-]"),
-        flag(before, r"(?i)(secret|token|passw|pwd|api.?key|auth|credential|private|bearer|access)[^\n]{0,16}$"),
+        flag(before, rf"(?i)({_NAMES})[^\n]{{0,16}}$"),
         flag(before, r"[:=]\s{0,3}[\"'(]{0,2}$"),
         flag(before, r"(?i)(sha-?1|sha256|md5|checksum|commit|digest|uuid|guid|etag|revision|hash|card|phone|isbn|serial|order|ref)[^\n]{0,12}$"),
         flag(after, r"^[\"']"),
         flag(path, r"(?i)(test|example|sample|fixture|mock|spec|readme|docs?/)"),
         flag(path, r"(?i)(\.env|config|settings|secret|credential|\.ya?ml|\.ini|\.tf)"),
-        flag(value, "^(AKIA|ASIA|ghp_|gho_|glpat-|sk_live|sk-|xox[abp]-|AIza|eyJ)"),
+        flag(value, f"^{_PREFIX}"),
         flag(value, "^[0-9]+$"),
+        share("[^A-Za-z0-9+/_ -]"),
+        share(" "),
+        flag(F.concat(value, F.left(after, F.lit(1))), r"[(\[{]|^[$%<]|^[A-Za-z_]+\.[A-Za-z_.]+"),
     )
 
 
@@ -119,6 +133,39 @@ def labelled_findings(rows: int = ROWS, seed: int = 11) -> list[dict]:
     return out
 
 
+def assigned_findings(rows: int = ROWS, seed: int = 12) -> list[dict]:
+    """Labelled findings of the values that only their name or prefix gives away, made from a seed like the others."""
+    rng = np.random.default_rng(seed)
+    lower, upper, digits, marks = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!@#$%.&*?-_"
+    words = "the value none true false null undefined string public private report holiday summer granted denied required optional user admin request settings world house garden between morning people bearer basic other about number".split()
+    phrases = ["os.environ", "request.headers", "config.secret_key", "self.token", "process.env.TOKEN", "getpass", "get_token", "settings.API_KEY", "${PASSWORD}", "$TOKEN", "<password>", "your-password", "changeme", "example", "placeholder", "sk-learn", "sk-image", "xxxxxxxx", "********", "enter your password", "must not be empty", "text/html"]
+    names = ["password", "passwd", "pwd", "secret", "token", "api_key", "db_password", "auth_token", "client_secret", "Password", "SECRET"]
+    paths = ["src/app.py", "src0", "web/config.yaml", "deploy/.env", "lib/core.js", "", "notes.txt"]
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    chars = lambda alphabet, n: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
+    shuffled = lambda s: "".join(s[i] for i in rng.permutation(len(s)))
+    out = []
+    for _ in range(rows):
+        good, kind = rng.random() < 0.5, int(rng.integers(4))
+        opening = pick([' = "', "=", ": ", " = '", ': "', " = "])
+        before = pick(words) + " " + pick(names) + opening
+        if good and kind == 0:
+            value, before = pick(["AKIA" + chars(upper + "234567", 16), "AKIA" + chars(upper, 16), "ghp_" + chars(lower + upper, 36), "glpat-" + chars(lower + upper, 20)]), pick([before, pick(words) + " "])
+        elif good and kind == 1:
+            value = chars(lower + upper, int(rng.integers(16, 40)))
+        elif good:
+            value = shuffled(chars(lower, int(rng.integers(2, 8))) + chars(upper, int(rng.integers(1, 4))) + chars(digits, int(rng.integers(1, 5))) + chars(marks, int(rng.integers(1, 4))))
+        elif kind == 0:
+            value, before = pick(["sk-learn", "sk-image", "sk-" + pick(words)]), pick([pick(words) + " ", before])
+        elif kind == 1:
+            value = pick(phrases)
+        else:
+            value = pick([pick(words), pick(words).title(), f"{pick(words)} {pick(words)} {pick(words)}", chars(digits, int(rng.integers(1, 6))), f"{pick(words)}_{pick(words)}"])
+        quoted = before.endswith(('"', "'"))
+        out.append({"value": value, "before": before, "after": before[-1] + pick([" ", "\n", ","]) if quoted else pick(["(", "[", " "] if value in ("getpass", "get_token", "os.environ", "request.headers") else [" ", "\n", "", ", ", "."]), "path": pick(paths), "label": int(good)})
+    return out
+
+
 def _grow(x: np.ndarray, y: np.ndarray, rng, cuts: list[np.ndarray], nodes: list, depth: int) -> int:
     me = len(nodes)
     nodes.append([-1, 0.0, me, me, float(y.mean())])
@@ -166,7 +213,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> dict[str, l
     rows = labelled
     if labelled is None:
         kind = "array<struct<value: string, before: string, after: string, path: string, label: int>>"
-        rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(labelled_findings())), kind)))
+        rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(labelled_findings() + assigned_findings())), kind)))
     # equal rows in whatever order and number of partitions give an equal forest
     got = rows.dropna(subset=["value", "before", "after", "path", "label"]).select(features(*(F.col(c) for c in ("value", "before", "after", "path"))).alias("x"), F.col("label").cast("double").alias("y")).orderBy(F.xxhash64("value", "before"), "y").limit(MOST_LABELLED).collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got])
@@ -206,13 +253,16 @@ def scan(docs: DataFrame, forest: dict[str, list] | None = None, text_col: str =
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
     pattern = F.lit(CANDIDATE)
-    has = lambda c: F.exists(c, lambda t: F.length(t) >= LEAST)
+    # matches of the last part of the pattern alone need the length
+    known = lambda t: (F.length(t) >= LEAST) | t.rlike(f"^{_PREFIX}")
+    asked = rf"(?:{_ASKED})"
     kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row") if keep else F.lit(None).alias("_row")
     one = docs.select(kept, text.alias("_text"), path.alias("_path"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("_tokens"))
-    two = one.withColumn("_gaps", F.when(has(F.col("_tokens")), F.split("_text", CANDIDATE, -1)))
+    two = one.withColumn("_gaps", F.when(F.exists("_tokens", known) | ((F.size("_tokens") > 0) & F.col("_text").rlike(asked)), F.split("_text", CANDIDATE, -1)))
     token, gap = (lambda i: F.get("_tokens", i)), (lambda i: F.get("_gaps", i))
-    which = F.filter(F.sequence(F.lit(0), F.size("_tokens") - 1), lambda i: F.length(token(i)) >= LEAST)
-    describe = lambda i: F.struct(i.alias("i"), token(i).alias("value"), F.right(F.concat(F.coalesce(token(i - 1), F.lit("")), gap(i)), F.lit(48)).alias("before"), F.left(gap(i + 1), F.lit(16)).alias("after"))
+    before = lambda i: F.right(F.concat(F.coalesce(token(i - 1), F.lit("")), gap(i)), F.lit(48))
+    which = F.filter(F.sequence(F.lit(0), F.size("_tokens") - 1), lambda i: known(token(i)) | before(i).rlike(f"{asked}$"))
+    describe = lambda i: F.struct(i.alias("i"), token(i).alias("value"), before(i).alias("before"), F.left(gap(i + 1), F.lit(16)).alias("after"))
     three = two.withColumn("_candidates", F.when(F.col("_gaps").isNotNull(), F.transform(which, describe)))
     four = three.withColumn("_inputs", F.transform("_candidates", lambda c: F.struct(c["i"].alias("i"), features(c["value"], c["before"], c["after"], F.col("_path")).alias("x"))))
     five = four.withColumn("_bad", F.filter(F.transform("_inputs", lambda c: F.struct(c["i"].alias("i"), forest_score(c["x"], forest).alias("score"))), lambda c: c["score"] >= threshold))
