@@ -1,6 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
-Language identification drops documents in no learned language; near-duplicate
+Language identification drops null texts and texts without a letter (all texts
+where no language was learned); others stay, as the nearest learned language,
+also where their own was not learned. Near-duplicate
 grouping leaves one document of each group; decontamination drops documents
 with benchmark passages; the secret scan masks secrets; mixing gives what each
 document contributes to the mix of sources.
@@ -19,7 +21,7 @@ from tessera.shipping import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text is in a language that the corpus's labels teach."""
+    """Keeps documents whose text has a letter, where the corpus's labels teach some language."""
     ship(spark)
     with scratch.step(spark, "pipeline"):
         return language.known_language(docs, language.train(docs, F.lit(True)))
