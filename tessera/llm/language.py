@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.errors import EngineError
 from tessera.llm.textkit import NON_SPACE, U64, Words, bytes_of, mix, pieces
 
 #: n-gram buckets of a model
@@ -26,7 +27,7 @@ BUCKETS = 1 << 16
 GRAM = 4
 #: rows per language that teach at most, in expectation: a bound on the sample for fitting
 SAMPLE = 20_000
-#: languages of a model at most (a model's table has BUCKETS floats for each)
+#: languages of a model at most, more are an error (a model's table has BUCKETS floats for each)
 LANGUAGES = 256
 ITERATIONS = 8
 #: log likelihood, per added language and log of the words, that a further language must bring
@@ -143,7 +144,9 @@ def train(docs: DataFrame, learns: Column, lang_col: str = "lang", text_col: str
     """A model from the rows where ``learns`` holds; of languages with more than ``sample`` such rows, a hashed sample."""
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     rows = docs.filter(learns & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"))
-    sizes = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    sizes = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect())
+    if len(sizes) > LANGUAGES:
+        raise EngineError(f"more than {LANGUAGES} languages to learn")
     languages = [r["lang"] for r in sizes]
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import licenses, secrets
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.errors import EngineError
+from tessera.llm import language, licenses, secrets
 from tessera.shipping import ship
 
 
@@ -41,3 +45,13 @@ def test_secrets_that_only_name_or_prefix_gives_away(spark):
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert [got[i] for i in range(len(secret))] == ['password = "[REDACTED]"', "key [REDACTED] used", "db_password: [REDACTED]", 'token = "[REDACTED]"', 'pwd = "[REDACTED]"']
     assert [got[len(secret) + i] for i in range(len(plain))] == plain
+
+
+def test_no_language_is_left_out_in_silence(spark, monkeypatch):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "one text", "a"), (2, "two texts", "b"), (3, "three texts", "c")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    assert language.train(docs, F.lit(True)).languages == ["a", "b", "c"]
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(EngineError):
+        language.train(docs, F.lit(True))
