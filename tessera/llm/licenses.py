@@ -1,156 +1,121 @@
-"""License scans by a positional index of licence words.
+"""License scans by a positional index of rare licence words.
 
-Of each file that holds some mandatory key phrase, the words of the
-templates with that phrase are looked up, all of them; their positions meet the
-templates' postings, and postings of one template that agree on its relative
-position count together. A template is found where the agreeing part of what
-was looked up is large enough and its mandatory key phrase stands in the file.
+The words of the templates are the licence words; their document frequency in
+the scanned corpus gives their idf. Of each template the words of the
+highest idf are indexed, with all their positions. A file's words that are in
+this index are looked up, every one of them; where a word's place in the file
+less its place in a template agrees for enough of the template's postings, the
+template is a candidate at that place, and it is found if its mandatory key
+phrase stands in the file, too.
 
 Base phrases are reported wherever their words stand consecutively, whatever
 the method finds.
 
-Defined cases: a null text is empty and has nothing; files of any length are
-read whole; repeated rows give repeated results. Only files with a key phrase
-are exploded, and postings are bounded by the templates.
+A text is read once: what the later steps need are the places of its licence
+words, which are written down. Nothing is capped per file; a file of many
+licences gets all their labels.
+
+Defined cases: a null text is empty, has no words and nothing is found in it;
+files of any length are read whole; repeated rows give repeated results; no
+rows give no rows. The index is bounded by the templates, so it is broadcast.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import scratch
+from tessera.llm.licence_texts import BASE, TEMPLATES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: licence words looked up in a file by the SQL form, the rarest first; the scan looks up all words of verified templates
-RAREST = 16
-#: share of a template's looked-up words that must agree on its position
+#: words of a template that are indexed, those of the highest idf: so many at most, and at most half of them
+INDEXED = 12
+#: share of a template's postings that must agree on its position
 AGREE = 0.6
 
-# Phrases whose places are all reported, and their labels.
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-# Label, template, mandatory key phrase. Sentences of public licences and their usual notices.
-TEMPLATES = [
-    ("mit", "Released under the MIT License", "mit license"),
-    ("mit", "Licensed under the MIT License", "mit license"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache org licenses license 2 0"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu general public license version 3"),
-    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "gnu general public license as published"),
-    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version", "either version 2 of the license"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gnu lesser general public license"),
-    ("agpl-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "gnu affero general public license"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla public license v 2 0"),
-    ("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc by nc 4 0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "cc by sa 4 0"),
-    ("cc-by-4.0", "Licensed under CC BY 4.0", "cc by 4 0"),
-    ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "creative commons attribution noncommercial 4 0"),
-    ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution 4 0"),
-    ("reserved", "All rights reserved", "all rights reserved"),
-]
-
 
 def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
 
 
-VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in words_of(text)})
-
+VOCABULARY = sorted({w for t in (*(text for _, text, _ in TEMPLATES), *BASE) for w in words_of(t)})
 
-def _contains_all(text: Column, phrase: str) -> Column:
-    out = F.lit(True)
-    for w in sorted(set(phrase.split()), key=len, reverse=True)[:2]:
-        out = out & text.contains(w)
-    return out
 
+def indexed(text: str) -> int:
+    """How many words of a template are indexed."""
+    return min(INDEXED, -(-len(set(words_of(text))) // 2))
 
-def may_match(text: Column) -> Column:
-    """A cheap necessary condition: the words of some base or key phrase occur. Other texts have nothing to report."""
-    low = F.lower(text)
-    out = F.lit(False)
-    for phrase in sorted({*BASE, *(key for _, _, key in TEMPLATES)}):
-        out = out | _contains_all(low, phrase)
-    return F.coalesce(out, F.lit(False))
 
-
-def _places(words: Column, phrase: str) -> Column:
+def _places(phrase: str) -> str:
+    """SQL: where the words of ``phrase`` stand consecutively, from the columns ``words`` and ``places`` of a file's licence words."""
     parts = phrase.split()
-    n = F.size(words)
+    at = " AND ".join([f"get(words, i) = '{parts[0]}'", *(f"get(words, i + {k}) = '{p}' AND get(places, i + {k}) = get(places, i) + {k}" for k, p in enumerate(parts[1:], 1))])
+    some = f"array_contains(words, '{max(parts, key=len)}') AND size(words) >= {len(parts)}"
+    return f"CASE WHEN {some} THEN transform(filter(sequence(0, size(words) - {len(parts)}), i -> coalesce({at}, false)), i -> get(places, i)) ELSE CAST(array() AS array<int>) END"
 
-    def at(i: Column) -> Column:
-        out = F.get(words, i) == parts[0]
-        for k, p in enumerate(parts[1:], 1):
-            out = out & (F.get(words, i + k) == p)
-        return out
 
-    return F.when(n >= len(parts), F.filter(F.sequence(F.lit(0), n - len(parts)), at)).otherwise(F.array().cast("array<int>"))
+def _verified() -> str:
+    """SQL: the templates whose key phrase stands in the file, of those in ``likely``."""
+    phrases: dict[str, list[int]] = {}
+    for k, (_, _, phrase) in enumerate(TEMPLATES):
+        phrases.setdefault(phrase, []).append(k)
+    held = (f"CASE WHEN arrays_overlap(transform(likely, c -> c.template), array({', '.join(map(str, of))})) AND size({_places(phrase)}) > 0 THEN array({', '.join(map(str, of))}) ELSE CAST(array() AS array<int>) END" for phrase, of in phrases.items())
+    return f"CASE WHEN likely IS NOT NULL THEN flatten(array({', '.join(held)})) ELSE CAST(array() AS array<int>) END"
 
 
-def _postings(spark) -> DataFrame:
-    rows = [f"({k}, '{label}', '{key}', '{w}', {i})" for k, (label, text, key) in enumerate(TEMPLATES) for i, w in enumerate(words_of(text))]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(rows) + " AS t(template, label, key, word, at)")
+def _index(spark, frequency: DataFrame) -> DataFrame:
+    """``template, label, word, at, size``: the postings of each template's rarest words, and how many they are."""
+    rows = [{"template": k, "label": label, "most": indexed(text), "word": w, "at": i} for k, (label, text, _) in enumerate(TEMPLATES) for i, w in enumerate(words_of(text))]
+    postings = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<template: int, label: string, most: int, word: string, at: int>>")))
+    postings = postings.join(F.broadcast(frequency), "word", "left")  # at most one row per licence word
+    rare = postings.withColumn("rank", F.dense_rank().over(Window.partitionBy("template").orderBy(F.coalesce("files", F.lit(0)), "word"))).filter("rank <= most")
+    return rare.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("template"))).select("template", "label", "word", "at", "size")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_base, first_word, last_word, base_labels, labels, score, found.
+    """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found.
 
     ``found`` lists the templates found: label, the word at which the template begins, and its agreeing share.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-
-    maybe = may_match(F.col("text"))
-    low = F.translate("text", UPPER, LOWER)
-    flat = F.concat(F.lit(" "), F.regexp_replace(low, _BREAK, " "), F.lit(" "))
-    texts = src.filter(maybe).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"), flat.alias("flat"))
-    held = [F.when(F.col("flat").contains(f" {key} "), F.lit(k)) for k, (_, _, key) in enumerate(TEMPLATES)]
-    texts = texts.withColumn("verified", F.array_compact(F.array(*held)))
-    own = [F.when(F.array_contains("verified", k), F.array(*map(F.lit, sorted(set(words_of(text)))))).otherwise(F.array().cast("array<string>")) for k, (_, text, _) in enumerate(TEMPLATES)]
-    looked = F.array_intersect(F.flatten(F.array(*own)), F.col("words"))
-    texts = texts.withColumn("looked", F.when(F.size("verified") > 0, looked))
-    for k, phrase in enumerate(BASE):
-        texts = texts.withColumn(f"base{k}", F.when(F.col("flat").contains(f" {phrase} "), _places(F.col("words"), phrase)).otherwise(F.array().cast("array<int>")))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains(F.col("looked"), x["word"]))
-    texts = scratch.table(texts.withColumn("hits", F.when(F.size("verified") > 0, hits)).drop("words", "flat"), "licensed")
-
-    # places of the looked-up words against the postings of the verified templates, by relative position
-    postings = F.broadcast(_postings(spark))  # one row per template word
-    each = texts.filter(F.size("verified") > 0).select("row", "verified", "looked", F.explode("hits").alias("hit")).select("row", "verified", "looked", F.col("hit.word").alias("word"), F.col("hit.pos").alias("pos"))
-    met = each.join(postings, "word").filter(F.array_contains("verified", F.col("template")))
-    agreed = met.groupBy("row", "template", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("looked").alias("looked"))
-    # how many of a template's words the file looked up
-    sizes = F.lit(0)
-    for k, (_, text, _) in enumerate(TEMPLATES):
-        sizes = F.when(F.col("template") == k, F.aggregate(F.array(*map(F.lit, words_of(text))), F.lit(0), lambda s, w: s + F.array_contains(F.col("looked"), w).cast("int"))).otherwise(sizes)
-    shares = agreed.withColumn("share", F.col("n") / F.greatest(F.lit(1), sizes)).filter(F.col("share") >= AGREE)
-    best = shares.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("label", "begin", "share"))).alias("found"))
-
-    joined = texts.join(best, "row", "left")
-    found = F.coalesce("found", F.array().cast("array<struct<label: string, begin: int, share: double>>"))
+    low = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), UPPER, LOWER)
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.split(low, _BREAK, -1).alias("w"))
+    # a text that begins or ends with a break has an empty string there
+    lead, n = "CAST(get(w, 0) = '' AS int)", "size(w) - CAST(get(w, 0) = '' AS int) - CAST(size(w) > 1 AND get(w, size(w) - 1) = '' AS int)"
+    some = ", ".join(f"'{w}'" for w in VOCABULARY)
+    hits = f"filter(sequence(0, size(w) - 1), i -> get(w, i) IN ({some}))"
+    src = src.select("doc_id", F.expr(n).cast("long").alias("n_words"), F.expr(lead).alias("lead"), "w", F.expr(hits).alias("hits"))
+    src = src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", F.expr("transform(hits, i -> i - lead)").alias("places"), F.expr("transform(hits, i -> get(w, i))").alias("words"))
+    src = scratch.table(src, "licence_words")
+
+    files = src.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("files"))
+    index = F.broadcast(scratch.table(_index(spark, files), "licence_index"))
+    each = src.select("row", F.explode(F.arrays_zip("words", "places")).alias("hit")).select("row", F.col("hit.words").alias("word"), F.col("hit.places").alias("pos"))
+    agreed = each.join(index, "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("size").alias("size"))
+    likely = agreed.withColumn("share", F.col("n") / F.col("size")).filter(F.col("share") >= AGREE)
+    likely = likely.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("template", "label", "begin", "share"))).alias("likely"))
+
+    joined = src.join(likely, "row", "left")
+    named = joined.select("row", "doc_id", "n_words", "likely", *(F.expr(_places(phrase)).alias(f"base{k}") for k, phrase in enumerate(BASE)), F.expr(_verified()).alias("verified"))
+    found = F.coalesce(F.transform(F.filter("likely", lambda c: F.array_contains("verified", c["template"])), lambda c: F.struct(c["label"].alias("label"), c["begin"].alias("begin"), c["share"].alias("share"))), F.array().cast("array<struct<label: string, begin: int, share: double>>"))
     base = [F.col(f"base{k}") for k in range(len(BASE))]
-    places = F.concat(*base)
     labels = F.array_compact(F.array(*(F.when(F.size(b) > 0, F.lit(name)) for b, name in zip(base, BASE.values(), strict=True))))
-    n = F.size(places)
-    some = joined.select(
+    out = named.select("doc_id", "n_words", F.concat(*base).alias("at"), labels.alias("base"), found.alias("found"))
+    n = F.size("at")
+    return out.select(
         "doc_id",
+        "n_words",
         n.cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(labels), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(labels, F.transform(found, lambda x: x["label"]))), ",").alias("labels"),
-        F.least(F.lit(1.0), F.greatest(F.when(n > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform(found, lambda x: x["share"])), F.lit(0.0)))).alias("score"),
-        found.alias("found"),
-    )
-    none = src.filter(~maybe).select(
-        "doc_id", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"), F.array().cast("array<struct<label: string, begin: int, share: double>>").alias("found")
+        F.array_min("at").cast("long").alias("first_word"),
+        F.array_max("at").cast("long").alias("last_word"),
+        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base", F.transform("found", lambda x: x["label"]))), ",").alias("labels"),
+        F.least(F.lit(1.0), F.greatest(F.when(n > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)))).alias("score"),
+        "found",
     )
-    return some.unionByName(none)
+

@@ -160,24 +160,23 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> original T
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000""",
 }
 
-_POSTINGS = ", ".join(f"({k}, '{label}', '{key}', '{w}', {i})" for k, (label, text, key) in enumerate(licenses.TEMPLATES) for i, w in enumerate(licenses.words_of(text)))
+_POSTINGS = ", ".join(f"({k}, '{label}', '{key}', {licenses.indexed(text)}, '{w}', {i})" for k, (label, text, key) in enumerate(licenses.TEMPLATES) for i, w in enumerate(licenses.words_of(text)))
 _PHRASES = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in licenses.BASE.items())
 
 ORACLE["op3_licenses"] = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
-post AS (SELECT * FROM (VALUES {_POSTINGS}) AS v(template, label, key, word, place)),
-seen AS (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), {_ALNUM})) AS word FROM d),
-ranked AS (SELECT word, row_number() OVER (ORDER BY n, word) AS rk FROM (SELECT p.word, count(seen.r) AS n FROM (SELECT DISTINCT word FROM post) p LEFT JOIN seen ON p.word = seen.word GROUP BY p.word)),
-verified AS (SELECT DISTINCT r, template FROM d, (SELECT DISTINCT template, key FROM post) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' ')),
-places AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d WHERE r IN (SELECT r FROM verified)),
-rare AS (SELECT r, word FROM (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY rk) AS k FROM (SELECT DISTINCT r, word FROM places) JOIN ranked USING (word)) WHERE k <= {licenses.RAREST}),
-sizes AS (SELECT r, template, count(*) AS size FROM verified JOIN post USING (template) JOIN rare USING (r, word) GROUP BY r, template),
-agreed AS (SELECT r, template, any_value(label) AS label, count(*) AS n FROM places JOIN rare USING (r, word) JOIN post USING (word) JOIN verified USING (r, template) GROUP BY r, template, pos - place),
-method AS (SELECT r, label, n / size AS share FROM agreed JOIN sizes USING (r, template) WHERE n / size >= {licenses.AGREE}),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+post AS (SELECT * FROM (VALUES {_POSTINGS}) AS v(template, label, key, most, word, place)),
+places AS (SELECT r, word, pos FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d) WHERE word IN (SELECT word FROM post)),
+files AS (SELECT word, count(DISTINCT r) AS n FROM places GROUP BY word),
+ranked AS (SELECT post.*, dense_rank() OVER (PARTITION BY template ORDER BY coalesce(n, 0), post.word) AS rk FROM post LEFT JOIN files ON post.word = files.word),
+idx AS (SELECT *, count(*) OVER (PARTITION BY template) AS size FROM ranked WHERE rk <= most),
+likely AS (SELECT r, template, any_value(label) AS label, any_value(key) AS key, count(*) / any_value(size) AS share FROM places JOIN idx ON places.word = idx.word
+           GROUP BY r, template, pos - place HAVING count(*) / any_value(size) >= {licenses.AGREE}),
+method AS (SELECT likely.* FROM likely JOIN d USING (r) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' ')),
 base AS (SELECT r, label, i - 1 AS pos FROM (SELECT r, w, label, phrase, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (VALUES {_PHRASES}) AS p(phrase, label, n) WHERE len(w) >= n) WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
 b AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
 l AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM method) GROUP BY r),
 m AS (SELECT r, max(share) AS share FROM method GROUP BY r)
-SELECT doc_id, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word, CAST(b.z AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels,
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word, CAST(b.z AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels,
        coalesce(l.labels, '') AS labels, CAST(least(1, greatest(CASE WHEN b.n > 0 THEN 1 ELSE 0 END, coalesce(m.share, 0))) AS DOUBLE) AS score
 FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN m USING (r)"""

@@ -7,6 +7,7 @@ import zlib
 from pathlib import Path
 
 import pytest
+from licence_twin import licence_labels
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -117,25 +118,30 @@ def test_pipeline_by_brute_force(spark, duck, texts):
 
 def test_licenses_method_by_brute_force(spark, texts):
     """Labels and scores from every offset of every template in every file."""
-    words = {d: licenses.words_of(t) for d, t in texts.items()}
-    lowered = {d: set(re.findall(licenses.WORD, t.lower())) for d, t in texts.items()}
-    frequency = {w: sum(w in s for s in lowered.values()) for w in licenses.VOCABULARY}
-    ordered = sorted(licenses.VOCABULARY, key=lambda w: (frequency[w], w))
-    some = 0
-    for r in queries.op3_licenses(spark, SF).collect():
-        w = words[r["doc_id"]]
-        flat, held = f" {' '.join(w)} ", set(w)
-        rare = {x for x in ordered if x in held}
-        rare = set([x for x in ordered if x in rare][: licenses.RAREST])
-        labels, score = set(filter(None, r["base_labels"].split(","))), float(r["n_base"] > 0)
-        for label, text, key in licenses.TEMPLATES:
-            at = [(i, x) for i, x in enumerate(licenses.words_of(text)) if x in rare]
-            if f" {key} " in flat and at:
-                for begin in range(-len(w), len(w)):
-                    share = sum(0 <= begin + i < len(w) and w[begin + i] == x for i, x in at) / len(at)
-                    if share >= licenses.AGREE:
-                        labels.add(label)
-                        score = max(score, share)
-        assert (r["labels"], round(r["score"], 9)) == (",".join(sorted(labels)), round(min(1.0, score), 9))
-        some += bool(labels)
-    assert some
+    got = {r["doc_id"]: r for r in queries.op3_licenses(spark, SF).collect()}
+    want = licence_labels(texts)
+    assert {d: (r["n_words"], r["labels"], round(r["score"], 9)) for d, r in got.items()} == want
+    assert any(labels for _, labels, _ in want.values())
+
+
+#: the columns that the contract names, with their types; more may follow
+CONTRACT = {
+    "op2_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op3_licenses": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op4_near_duplicates": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op5_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op6_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op7_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op8_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op9_warc": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+    "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_columns_are_the_contract_s(spark, name):
+    got = dict(queries.QUERIES[name](spark, SF).dtypes)
+    assert got["page_id" if name == "op9_warc" else "doc_id"] == "bigint"
+    for column in CONTRACT.get(name, "doc_id bigint").split(", "):
+        field, kind = column.split()
+        assert got[field] == kind
