@@ -6,13 +6,14 @@ import re
 import zlib
 from pathlib import Path
 
+import mixing_twin
 import pytest
 from licence_twin import licence_labels
 
 duckdb = pytest.importorskip("duckdb")
 
 import corpus_pipeline  # noqa: E402
-from tessera.llm import licenses, queries  # noqa: E402
+from tessera.llm import licenses, mixing, queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables here")
@@ -89,6 +90,14 @@ def test_mix_meets_its_targets(spark, texts):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op10_mixing(spark, SF).collect()))
 
 
+def test_mix_by_brute_force(spark, duck):
+    rows = duck.sql("SELECT doc_id, text, source FROM documents").fetchall()
+    want, _ = mixing_twin.taken(rows, mixing.SHARD_SLOTS)
+    got = queries.op10_mixing(spark, SF).select("doc_id", "size", "source_size", "target", "taken").collect()
+    close = lambda x: (*x[:3], round(x[3], 6), x[4])
+    assert sorted(map(close, got)) == sorted(map(close, want))
+
+
 def test_secrets_found_and_masked(spark, texts):
     for r in queries.op1_secrets(spark, SF).collect():
         want = [m.start(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', texts[r["doc_id"]])]

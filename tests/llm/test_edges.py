@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import mixing_twin
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -304,6 +305,29 @@ def test_mixing(docs, none):
     assert {r["taken"] for r in mixing.taken(docs.withColumn("text", F.lit(None).cast("string"))).collect()} == {0}
 
 
+def test_mix_of_many_shards_and_sources_by_brute_force(spark, monkeypatch):
+    """Null, equal and missing ids, empty texts and sources, more sources than a part of a running sum holds."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i) if i % 11 else None, " ".join(f"w{x}" for x in rng.integers(0, 90, int(rng.integers(0, 300)))) if i % 13 else None, f"s{rng.integers(0, 9)}" if i % 7 else None) for i in range(200)]
+    rows += [(500, "one text that is here twice", "s1")] * 2 + [(501, None, "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want, drawn = mixing_twin.taken(rows, 32)
+    assert len({shard for shard, _ in drawn}) > 20
+    close = lambda x: (*x[:3], round(x[3], 6), x[4])
+    for part in (mixing.PART, 3):
+        monkeypatch.setattr(mixing, "PART", part)
+        got = mixing.taken(df, 32).collect()
+        assert sorted(map(close, got), key=repr) == sorted(map(close, want), key=repr)
+    sources = mixing.layout(df)[1]
+    counts = {(r["shard"], r["number"] - 1): r["count"] for r in mixing.draw(sources, 32).collect()}
+    assert counts == dict(drawn)
+    # the counts of a shard vary as draws do, and come to each source's slots
+    total = sum(counts.values())
+    shares = [counts.get((s, 1), 0) / 32 for s in range(total // 32)]
+    p = sum(n for (_, k), n in counts.items() if k == 1) / total
+    assert 0.3 < np.var(shares) / (p * (1 - p) / 32) < 3
+
+
 def test_permutation_is_one(spark):
     for a, b in ((1, 1), (1, 7), (5, 13), (31, 33)):
         df = mixing.permute(spark.range(a * b).withColumns({"a": F.lit(a).cast("long"), "b": F.lit(b).cast("long"), "k": F.lit(3)}), "id", "a", "b", ["k"], "p")
@@ -312,6 +336,7 @@ def test_permutation_is_one(spark):
 
 def test_targets_share_the_excess(spark):
     rows = [("a", 10), ("b", 1000), ("c", 100), (None, 50), ("z", 0)]
+    ship(spark)
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long"), (3, 1, 2), 1.5, 2.0).collect()}
     # by rounds of resharing
     weight = {"a": 3, "b": 1, "c": 2, "z": 3, None: 1}
