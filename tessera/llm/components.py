@@ -2,7 +2,12 @@
 
 Edges are first contracted by union-find inside each partition; what is left
 alternates large-star and small-star steps until nothing moves. Edges stay
-distributed throughout.
+distributed throughout. A node of more than a share of all edges is a hub: the
+smallest neighbours of hubs, HUBS nodes at most, are broadcast, so that a
+component around one node isn't dealt to one task.
+
+Defined cases: no edges give no rows; edges from a node to itself and edges
+with a null are left out; repeated edges count once.
 """
 
 from __future__ import annotations
@@ -15,6 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import scratch
 
+#: nodes of the table of hubs at most (16 bytes each)
+HUBS = 100_000
+#: edges of a node up to which it is none
+FEW = 64
+
 
 class UnionFind:
     """Disjoint sets of integers; the root of a set is its smallest member."""
@@ -46,17 +56,27 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1])], names=["v", "m"])
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_low(e: DataFrame, edges: int) -> DataFrame:
+    """Adds to edges ``v, m`` the smallest m of each v, as ``low``."""
+    least = scratch.table(e.groupBy("v").agg(F.min("m").alias("low"), F.count(F.lit(1)).alias("n")), "least")
+    # a hub has more than 2 * edges / HUBS of the 2 * edges rows at most, so there are HUBS of them at most
+    hub = F.col("n") > max(FEW, 2 * edges // HUBS)
+    hubs = F.broadcast(least.filter(hub).select("v", "low"))
+    light = least.filter(~hub).select("v", "low")
+    return e.join(hubs, "v").unionByName(e.join(hubs, "v", "left_anti").join(light, "v"))
+
+
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     both = e.union(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
-    least = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
-    return both.join(least, "v").filter(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("low").alias("m"))
+    moved = _with_low(both, edges).filter(F.col("m") > F.col("v"))
+    return moved.select(F.col("m").alias("v"), F.least("v", "low").alias("m"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("v", "m").alias("v"), F.least("v", "m").alias("m"))
-    least = down.groupBy("v").agg(F.min("m").alias("low"))
-    moved = down.join(least, "v").filter(F.col("m") != F.col("low")).select(F.col("m").alias("v"), F.col("low").alias("m"))
-    return moved.union(least.select("v", F.col("low").alias("m"))).filter("v <> m").distinct()
+def _small_star(e: DataFrame, edges: int) -> DataFrame:
+    down = e.select(F.greatest("v", "m").alias("v"), F.least("v", "m").alias("m")).distinct()
+    met = _with_low(down, edges)
+    moved = met.filter("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
+    return moved.union(met.select("v", F.col("low").alias("m"))).filter("v <> m").distinct()
 
 
 def _is_stars(e: DataFrame) -> bool:
@@ -70,5 +90,6 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("m")).filter("v <> m").mapInArrow(_contract, "v long, m long")
     now = scratch.table(e.distinct(), "edges")
     while not _is_stars(now):
-        now = scratch.table(_small_star(_large_star(now)), "stars")
+        n = now.count()
+        now = scratch.table(_small_star(scratch.table(_large_star(now, n), "large"), n), "stars")
     return now

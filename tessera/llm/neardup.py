@@ -10,20 +10,28 @@ smallest doc_id) stands for. Representatives that share a band are candidates;
 with 40 bands of 5 slots a pair at similarity 0.75 is missed with probability
 2e-5, at 0.8 with 1e-7. Members of a bucket are first compared with its centre,
 its smallest member. Only pairs of a bucket that then still lie in different
-components are considered further, and an exact bound spares most of those:
-both texts' differences from the centre are known, and to be similar enough
-two texts must share many of them. What the bound leaves is compared, too.
+components are considered further, and those are found by an index on how
+members differ from their centre, never by pairing a bucket's members.
 Each link is confirmed on the full shingle sets of both texts.
 
-The bound: let R be the centre's shingles that x lacks, A those of x that the
-centre lacks, E their union and w = 4 |R| + 3 |A|. With centre size c, x and y
-link exactly if 7 |E(x) and E(y) common| >= w(x) + w(y) - c, and a 512-bit map
-of each E bounds the common part from above.
+The index: let R be the centre's shingles that x lacks, A those of x that the
+centre lacks, E their union, w = 4 |R| + 3 |A|, and c the centre's size. x and
+y link exactly if 7 |E(x) and E(y) common| >= w(x) + w(y) - c. Of two members in
+different components one at least does not link with the centre, so its w is
+over c and the common part is not empty. Sort each E by how many members have a
+shingle, rarest first. If the first common shingle is number i of E(x) and j of
+E(y), the common part is at most min(|E(x)| - i, |E(y)| - j), which must reach
+(w(x) + w(y) - c) / 7. So with w(x) >= w(y), y is looked up under its shingle j
+only if 7 (|E(y)| - j) >= 2 w(y) - c, and x asks under its shingle i only for
+w(y) <= 7 (|E(x)| - i) + c - w(x). What texts share with many others of their
+bucket, such as a common passage, comes last in that order and is not asked for.
 
 Defined cases: a text without words (or null) has an empty set, links with
 nothing and is kept; fewer words than a shingle are one shingle; rows that
 share a doc_id are one document; rows with a null doc_id link with nothing,
-have a null component and are kept.
+have a null component and are kept. Ids must be whole numbers, other types are
+an error. No column of the input is reserved but, in ``deduplicate``,
+``_tessera_gone``, ``_tessera_again`` and ``_row``.
 """
 
 from __future__ import annotations
@@ -32,8 +40,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.errors import EngineError
 from tessera.llm import scratch
 from tessera.llm.components import stars
 from tessera.llm.textkit import NON_SPACE, U64, Words, bytes_of, mix, pieces, shingles
@@ -43,8 +52,6 @@ BANDS, ROWS = 40, 5
 SLOTS = BANDS * ROWS
 #: 100 * intersection >= THRESHOLD * union
 THRESHOLD = 75
-#: words of 64 bits of a difference map
-MAP = 8
 #: ids up to which a table of them is broadcast (8 bytes each); beyond, it is shuffled
 BROADCAST_IDS = 2_000_000
 _TOP = U64(52)
@@ -142,31 +149,37 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether each pair links, and how a differs from b: the size of b and its key, w, |E| and the map of E."""
-    bit = U64(1) << np.arange(64, dtype=np.uint64)
-    for batch in batches:
-        for part in pieces(pieces(iter([batch]), "text_a"), "text_b"):
-            ok, figures, maps = [], [], np.zeros((part.num_rows, MAP * 64), bool)
-            for k, (x, y) in enumerate(zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")), strict=True)):
-                apart = np.setxor1d(x, y, assume_unique=True)
-                both = (len(x) + len(y) - len(apart)) // 2
-                ok.append(both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both))
-                maps[k, (mix(apart) >> U64(55)).astype(np.int64)] = True
-                figures.append((len(y), int(np.add.reduce(y).view(np.int64)) if len(y) else 0, 4 * (len(y) - both) + 3 * (len(x) - both), len(apart)))
-            words = (maps.reshape(-1, MAP, 64) * bit).sum(axis=2, dtype=np.uint64).view(np.int64)
-            columns = [part.column("a"), part.column("b"), pa.array(ok, pa.bool_()), *(pa.array(c, pa.int64()) for c in np.array(figures, np.int64).reshape(-1, 4).T), *(pa.array(c) for c in words.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "size", "key", "w", "differ", *(f"m{i}" for i in range(MAP))])
-
-
-_TESTED = "a long, b long, linked boolean, size long, key long, w long, differ long, " + ", ".join(f"m{i} long" for i in range(MAP))
+    """Whether each pair links."""
+    for part in pieces(pieces(batches, "text_a"), "text_b"):
+        ok = []
+        for x, y in zip(shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both > 0 and 100 * both >= THRESHOLD * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How a differs from its centre b: the size of b, w, |E| and, a row each, the shingles of E."""
+    kinds = [pa.int64()] * 6
+    for part in pieces(pieces(batches, "text_a"), "text_b"):
+        for a, b, x, y in zip(part.column("a"), part.column("b"), shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b")), strict=True):
+            apart = np.setxor1d(x, y, assume_unique=True)
+            both = (len(x) + len(y) - len(apart)) // 2
+            fixed = (a.as_py(), b.as_py(), len(y), 4 * (len(y) - both) + 3 * (len(x) - both), len(apart))
+            for begin in range(0, len(apart), 50_000):
+                some = apart[begin : begin + 50_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(some), v, np.int64)) for v in fixed), pa.array(some.view(np.int64))], schema=pa.schema(list(zip(("rep", "centre", "size", "w", "differ", "shingle"), kinds, strict=True))))
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The tested pairs, with whether they link and how they differ."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return scratch.table(met.mapInArrow(_linked, _TESTED), "tested")
+    """The tested pairs, with whether they link."""
+    return scratch.table(_with_texts(pairs, texts).mapInArrow(_linked, "a long, b long, linked boolean"), "tested")
 
 
 def _pairs(component: DataFrame) -> DataFrame:
@@ -180,25 +193,28 @@ def _open(members: DataFrame, component: DataFrame) -> DataFrame:
     return scratch.table(placed.join(split, "bucket"), "open")
 
 
-def _possible(open_: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs of a bucket and of different components that the bound does not rule out."""
-    differ = tested.select(F.col("a").alias("rep"), F.col("b").alias("centre"), "size", "key", "w", "differ", *(f"m{i}" for i in range(MAP)))
-    known = scratch.table(open_.join(differ, ["rep", "centre"]), "known")
-    heads = open_.filter("rep = centre").select("bucket", F.col("root").alias("main"))
-    # a pair of different components has a member outside the centre's component
-    outside = known.join(heads, "bucket").filter("root <> main").drop("main")
-    x, y = outside.alias("x"), known.select("bucket", *(F.col(c).alias(f"y_{c}") for c in known.columns if c != "bucket"))
-    need = F.col("w") + F.col("y_w") - F.col("size")
-    only = lambda p, q: sum((F.bit_count(F.col(f"{p}m{i}").bitwiseAND(F.bitwise_not(f"{q}m{i}"))) for i in range(MAP)), F.lit(0))
-    common = F.least(F.col("differ") - only("", "y_"), F.col("y_differ") - only("y_", ""))
-    fits = (F.col("root") != F.col("y_root")) & (F.col("key") == F.col("y_key")) & (7 * common >= need)
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & fits).select(F.greatest("rep", "y_rep").alias("a"), F.least("rep", "y_rep").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+def _possible(open_: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of different components that the index on differences from a centre leaves."""
+    members = scratch.table(open_.filter("rep <> centre").select("rep", "centre", "root").distinct(), "around")
+    spread = _with_texts(members.select(F.col("rep").alias("a"), F.col("centre").alias("b")), texts).mapInArrow(_differences, "rep long, centre long, size long, w long, differ long, shingle long")
+    spread = scratch.table(spread, "differences")
+    often = spread.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")  # the others meet nothing, and come first
+    rarest = Window.partitionBy("rep", "centre").orderBy(F.coalesce("often", F.lit(1)), "shingle")
+    placed = spread.join(often, ["centre", "shingle"], "left").withColumn("i", F.row_number().over(rarest) - 1).filter("often > 1")
+    # what is left of E from here on bounds the common part
+    placed = placed.withColumn("most", 7 * (F.col("differ") - F.col("i")) + F.col("size") - F.col("w")).filter("most >= 0")
+    placed = scratch.table(placed.join(members, ["rep", "centre"]).select("centre", "shingle", "rep", "root", "w", "most"), "index")
+    held = placed.filter("most >= w").select("centre", "shingle", *(F.col(c).alias(f"y_{c}") for c in ("rep", "root", "w", "most")))
+    larger = (F.col("w") > F.col("y_w")) | ((F.col("w") == F.col("y_w")) & (F.col("rep") > F.col("y_rep")))
+    fits = larger & (F.col("root") != F.col("y_root")) & (F.col("y_w") <= F.col("most")) & (F.col("w") <= F.col("y_most"))
+    met = placed.join(held, ["centre", "shingle"]).filter(fits)
+    return met.select(F.greatest("rep", "y_rep").alias("a"), F.least("rep", "y_rep").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise EngineError(f"ids of near duplicates must be whole numbers, {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     feats = scratch.table(src.mapInArrow(_features, "doc_id long, n_shingles long, high long, low long, bands array<long>"), "features")
 
@@ -224,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = _verify(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts)
         tested = tested.union(again)
         component = stars(_pairs(component).union(again.filter("linked").select("a", "b")))
-        last = _verify(_possible(_open(members, component), tested), texts)
+        last = _verify(_possible(_open(members, component), tested, texts), texts)
         component = stars(_pairs(component).union(last.filter("linked").select("a", "b")))
     named = classes.select("high", "low", "rep", "size")
     if component is not None:
