@@ -42,11 +42,17 @@ def measure(m: Measure) -> Column:
             out = F.min(arg)
         case "max", _ if arg is not None:
             out = F.max(arg)
+        case ("stddev" | "stddev_pop" | "variance" | "var_pop" | "median" | "approx_count_distinct"), False if arg is not None:
+            out = SPREAD[m.function](arg)
         case _:
             raise EngineError(f"no aggregate {m.function!r} of {m.argument!r}")
     return out.alias(m.name) if m.name else out
 
 
+#: sample deviation and variance, those of a population, the interpolated median, and a sketch's count
+SPREAD = {"stddev": F.stddev_samp, "stddev_pop": F.stddev_pop, "variance": F.var_samp, "var_pop": F.var_pop, "median": F.median, "approx_count_distinct": F.approx_count_distinct}
+
+
 def aggregate(df: DataFrame, keys: Sequence[str | Column], measures: Sequence[Measure], grouping: str = "plain") -> DataFrame:
     """Group by ``keys`` plainly, by rollup or by cube; no keys give one row, also over no rows."""
     columns = [measure(m) for m in measures]

@@ -1,4 +1,4 @@
-"""Equi-joins of every kind, with a rule for equal column names."""
+"""Joins of every kind, with a rule for equal column names."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.errors import EngineError
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
-#: bytes up to which a build side, by its planner statistics, is sent to every executor
-BROADCAST_BYTES = 64 << 20
+#: bytes up to which a build side, by its planner statistics, is sent to every executor; these
+#: are of compressed files, and a hash table of their rows can be some ten times as large
+BROADCAST_BYTES = 32 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -18,18 +19,23 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint only below the limit; beyond it the planner shuffles or splits skew."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, size_of: DataFrame | None = None) -> DataFrame:
+    """A broadcast hint only below the limit; beyond it the planner shuffles or splits skew.
+
+    ``size_of`` is what to measure where ``df`` has no more and no wider rows than it: the
+    planner takes a join for the product of its sides.
+    """
+    return F.broadcast(df) if estimated_bytes(df if size_of is None else size_of) <= limit else df
 
 
 def join(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str] | None = None, kind: str = "inner", residual: Column | None = None, suffix: str = "_right", null_safe: bool = False) -> DataFrame:
     """Join on pairs of keys. Right columns whose names the left has get ``suffix``; null keys match only if ``null_safe``.
 
-    Semi and anti joins give the left columns alone. ``residual`` is a further condition over the renamed columns.
+    Semi and anti joins give the left columns alone. ``residual`` is a further condition over the renamed columns;
+    without keys it is the whole condition (a theta or range join, which compares all rows of both sides).
     """
     right_keys = list(right_keys or left_keys)
-    if kind not in KINDS or not left_keys or len(left_keys) != len(right_keys):
+    if kind not in KINDS or len(left_keys) != len(right_keys) or (not left_keys and residual is None):
         raise EngineError(f"cannot join {list(left_keys)} with {right_keys} as {kind!r}")
     taken = set(left.columns)
     names = {c: c + suffix if c in taken else c for c in right.columns}

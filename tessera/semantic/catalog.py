@@ -178,8 +178,8 @@ class Catalog:
         return text if q.limit is None else f"{text} LIMIT {q.limit}"
 
     def expand_sql(self, model: str, dataset: str, text: str) -> str:
-        """SQL text with ``METRIC(name)`` replaced by the metric's expression."""
-        return re.sub(r"\bMETRIC\(\s*(\w+)\s*\)", lambda m: self.metric(model, dataset, m[1]), text, flags=re.I)
+        """SQL text with ``METRIC(name)`` outside string literals replaced by the metric's expression."""
+        return re.sub(r"'(?:[^']|'')*'|\bMETRIC\(\s*(\w+)\s*\)", lambda m: self.metric(model, dataset, m[1]) if m[1] else m[0], text, flags=re.I)
 
 
 def _qualified(sql: str, d: Dataset) -> str:

@@ -57,16 +57,20 @@ def list_files(spark: SparkSession, uri: str, suffix: str = ".parquet") -> list[
     return sorted(found)
 
 
+#: the reader that answers COUNT, MIN and MAX from footers (where spark.sql.parquet.aggregatePushdown is on)
+_BY_METADATA = "org.apache.spark.sql.execution.datasources.v2.parquet.ParquetDataSourceV2"
+
+
+def by_metadata(spark: SparkSession, uri: str) -> DataFrame:
+    """A scan whose unconditional counts read footers only."""
+    return spark.read.format(_BY_METADATA).load(resolve_uri(uri))
+
+
 def row_count(spark: SparkSession, uris: str | Sequence[str], where: Column | None = None) -> int:
     """Rows of Parquet files; without a condition from their footers."""
-    before = spark.conf.get("spark.sql.sources.useV1SourceList")
-    try:
-        if where is None:  # the newer source answers COUNT from metadata
-            spark.conf.set("spark.sql.sources.useV1SourceList", "")
-            spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    if where is not None:
         return scan(spark, uris, where=where).count()
-    finally:
-        spark.conf.set("spark.sql.sources.useV1SourceList", before)
+    return sum(by_metadata(spark, u).count() for u in ([uris] if isinstance(uris, str) else uris))
 
 
 def adapt(df: DataFrame, target: StructType) -> DataFrame:

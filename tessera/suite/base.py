@@ -11,8 +11,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-#: schemas by path, so that footers are read once and not for every query
-_schemas: dict[tuple[str, str], StructType] = {}
+#: schemas by path and time of writing, so that footers are read once and not for every query
+_schemas: dict[tuple[str, str, int], StructType] = {}
 
 
 class Tables:
@@ -23,7 +23,10 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        key = (self.spark.sparkContext.applicationId, path)
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        written = target.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(target).getModificationTime()
+        key = (context.applicationId, path, written)
         if key not in _schemas:
             _schemas[key] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_schemas[key]).parquet(path)

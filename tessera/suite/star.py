@@ -13,10 +13,6 @@ from tessera.suite.base import Tables, mean, query, rows, total
 _FACT = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
 
 
-def fact(t: Tables) -> DataFrame:
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-
-
 def with_part(df: DataFrame, part: DataFrame) -> DataFrame:
     return df.join(broadcast_if_small(part), F.col("l_partkey") == F.col("p_partkey"))
 
@@ -24,8 +20,10 @@ def with_part(df: DataFrame, part: DataFrame) -> DataFrame:
 @query(f"""SELECT CAST(year(o_orderdate) AS INTEGER) AS y, p_brand, p_type, round(sum(l_extendedprice), 4) AS price FROM {_FACT}
 WHERE p_size < 20 AND month(o_orderdate) = 11 GROUP BY ALL ORDER BY y, price DESC, p_brand, p_type LIMIT 100""")
 def ds_q3(t: Tables) -> DataFrame:
-    november = with_part(fact(t).filter(F.month("o_orderdate") == 11), t.part.filter("p_size < 20").select("p_partkey", "p_brand", "p_type"))
-    out = november.groupBy(F.year("o_orderdate").alias("y"), "p_brand", "p_type").agg(total("l_extendedprice", "price"))
+    # parts cut the lines before these are shuffled
+    lines = with_part(t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice"), t.part.filter("p_size < 20").select("p_partkey", "p_brand", "p_type"))
+    november = t.orders.filter(F.month("o_orderdate") == 11).select("o_orderkey", "o_orderdate")
+    out = lines.join(broadcast_if_small(november), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.year("o_orderdate").alias("y"), "p_brand", "p_type").agg(total("l_extendedprice", "price"))
     return sort(out, [SortKey("y"), SortKey("price", True), SortKey("p_brand"), SortKey("p_type")], 100)
 
 
@@ -42,9 +40,12 @@ def ds_q7(t: Tables) -> DataFrame:
 @query(f"""SELECT p_brand, n_name, round(sum(l_extendedprice), 4) AS price FROM {_FACT} JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE p_size IN (1, 5, 10, 15, 20) AND n_regionkey IN (1, 2) GROUP BY p_brand, n_name""")
 def ds_q19(t: Tables) -> DataFrame:
-    where = t.customer.join(F.broadcast(t.nation.filter("n_regionkey IN (1, 2)")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")  # nations are a fixed 25
+    customers = t.customer.select("c_custkey", "c_nationkey")
+    where = customers.join(F.broadcast(t.nation.filter("n_regionkey IN (1, 2)")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")  # nations are a fixed 25
     parts = t.part.filter("p_size IN (1, 5, 10, 15, 20)").select("p_partkey", "p_brand")
-    lines = with_part(fact(t), parts).join(broadcast_if_small(where), F.col("o_custkey") == F.col("c_custkey"))
+    # customers cut the orders and parts the lines before these two meet
+    mine = t.orders.select("o_orderkey", "o_custkey").join(broadcast_if_small(where, size_of=customers), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "n_name")
+    lines = with_part(t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice"), parts).join(broadcast_if_small(mine, size_of=t.orders.select("o_orderkey", "o_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.groupBy("p_brand", "n_name").agg(total("l_extendedprice", "price"))
 
 
@@ -58,8 +59,9 @@ def ds_q27_nested(t: Tables) -> DataFrame:
 @query("""SELECT p_brand, n_name, CAST(grouping(n_name) AS BIGINT) AS g, round(avg(l_quantity), 6) AS q, round(sum(l_extendedprice), 4) AS p FROM lineitem, part, supplier, nation
 WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND p_size > 25 GROUP BY ROLLUP (p_brand, n_name)""")
 def ds_q27_rollup(t: Tables) -> DataFrame:
-    lands = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")  # nations are a fixed 25
-    lines = with_part(t.lineitem, t.part.filter("p_size > 25").select("p_partkey", "p_brand")).join(broadcast_if_small(lands), F.col("l_suppkey") == F.col("s_suppkey"))
+    who = t.supplier.select("s_suppkey", "s_nationkey")
+    lands = who.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")  # nations are a fixed 25
+    lines = with_part(t.lineitem, t.part.filter("p_size > 25").select("p_partkey", "p_brand")).join(broadcast_if_small(lands, size_of=who), F.col("l_suppkey") == F.col("s_suppkey"))
     return lines.rollup("p_brand", "n_name").agg(F.grouping("n_name").cast("bigint").alias("g"), mean("l_quantity", "q"), total("l_extendedprice", "p"))
 
 
@@ -168,9 +170,12 @@ for _how in ("union", "intersect", "except"):
     _set(_how, True)
 
 
-@query()
+@query("""SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys, CAST(1 AS BIGINT) AS buckets_of_a_key, true AS inside FROM orders""")
 def hash_partition(t: Tables) -> DataFrame:
-    return t.orders.groupBy(bucket(16, F.col("o_custkey")).alias("bucket")).agg(rows(), F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"))
+    """Rows dealt to 16 buckets: none is lost, a key's rows meet in one bucket, and bucket numbers are below 16."""
+    dealt = t.orders.select("o_custkey", bucket(16, F.col("o_custkey")).alias("bucket"))
+    keys = dealt.groupBy("o_custkey").agg(rows(), F.count_distinct("bucket").alias("buckets"), F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+    return keys.agg(F.sum("n").alias("n"), rows("keys"), F.max("buckets").alias("buckets_of_a_key"), ((F.min("low") >= 0) & (F.max("high") < 16)).alias("inside"))
 
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
