@@ -296,6 +296,36 @@ def test_warc_payloads_survive(spark, tmp_path):
     assert {r["page_id"]: r["payload"] for r in warc.read(spark, str(tmp_path / "a"), payloads=True).collect()} == {r["page_id"]: r["html"] for r in pages.collect()}
 
 
+def test_warc_archives_are_bounded_and_ids_unique(spark, tmp_path, monkeypatch):
+    """Many small and some large payloads in one partition; several shelves."""
+    import gzip
+
+    ship(spark)
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = [(i, f"u{i}", "".join(rng.choice(letters, 300_000 if i % 50 == 0 else 40))) for i in range(600)] + [(7, "again", "z" * 2000)] * 3 + [(8, "v", "z" * 2000), (601, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 500_000)
+    monkeypatch.setattr(warc, "SHELF_RECORDS", 100)
+    raw, done = str(tmp_path / "raw"), str(tmp_path / "done")
+    warc.archive(pages, raw)
+    assert len(warc._shelves(spark, raw)) > 3
+    warc.resolve(spark, raw, done)
+    ids, kinds = [], {}
+    for folder in (raw, done):
+        for f in sorted((tmp_path / folder).rglob("part-*")):
+            plain = gzip.decompress(f.read_bytes())
+            assert len(plain) <= 500_000 + 1_000 and plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+            heads = [h for h, _ in warc._records(memoryview(f.read_bytes()))]
+            ids += [h["WARC-Record-ID"] for h in heads]
+            kinds.setdefault(folder, []).extend(h["WARC-Type"] for h in heads if h["WARC-Type"] != "warcinfo")
+            assert all(h["Content-Type"] for h in heads)
+    assert len(ids) == len(set(ids))
+    assert kinds[raw] == ["response"] * len(rows) and sorted(kinds[done]) == ["response"] * (len(rows) - 3) + ["revisit"] * 3
+    got = {(r["page_id"], r["payload"]) for r in warc.read(spark, done, payloads=True).filter("record_type = 'response'").collect()}
+    assert got == {(i, h or "") for i, _, h in rows if (i, len(h or "")) != (7, 2000)}
+
+
 def test_mixing(docs, none):
     got = complete(mixing.taken(docs), docs)
     assert got[3][0]["size"] == 0 and got[3][0]["taken"] == 0 and got[7][0]["size"] == 60_000
