@@ -33,7 +33,7 @@ ITERATIONS = 8
 #: log likelihood, per added language and log of the words, that a further language must bring
 PENALTY = 2.0
 
-# bytes that count as letters: a-z and all of multi-byte characters but those of general punctuation and Latin-1 signs
+# bytes that count as letters: a-z and all of multi-byte characters (whether a text has a letter at all is decided by Unicode, see _letters)
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 _LETTER[0x80:] = True
@@ -67,7 +67,7 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
         #: bytes of text at a time: a word takes a float for each language
-        self.batch = 16_000_000 // max(8, len(languages))
+        self.batch = 8_000_000 // max(8, len(languages))
         rest = 0.1
         self.table = np.log((counts + rest) / (counts.sum(axis=0) + rest * BUCKETS)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
 
@@ -140,10 +140,11 @@ class Model:
         return share, np.add.reduceat(np.log(np.maximum(total, 1e-30)), starts, dtype=np.float64)
 
 
-def train(docs: DataFrame, learns: Column, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from the rows where ``learns`` holds; of languages with more than ``sample`` such rows, a hashed sample."""
+def train(docs: DataFrame, learns: Column, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, id_col: str = "doc_id") -> Model:
+    """A model from the rows where ``learns`` holds; of languages with more than ``sample`` such rows, a sample by a hash of id and text."""
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
-    rows = docs.filter(learns & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"))
+    same = F.col(f"`{id_col}`") if id_col in docs.columns else F.lit(0)
+    rows = docs.filter(learns & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), same.alias("id"))
     sizes = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect())
     if len(sizes) > LANGUAGES:
         raise EngineError(f"more than {LANGUAGES} languages to learn")
@@ -152,16 +153,17 @@ def train(docs: DataFrame, learns: Column, lang_col: str = "lang", text_col: str
         return Model([], np.zeros((BUCKETS, 0)))
     number = {x: i for i, x in enumerate(languages)}
     share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))) for r in sizes), F.lit(0.0))
-    chosen = rows.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+    chosen = rows.filter(F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30)) < share * F.lit(float(1 << 30))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part in pieces(batches, "text"):
             w, gram, word = _word_grams(part.column("text"))
             mine = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
-            total += np.bincount(mine[w.doc()[word]] * BUCKETS + gram, minlength=total.size).reshape(total.shape)
-        k, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k * BUCKETS + b), pa.array(total[k, b])], names=["cell", "n"])
+            some, times = np.unique(mine[w.doc()[word]] * BUCKETS + gram, return_counts=True)
+            codes, where = np.unique(np.r_[codes, some], return_inverse=True)
+            n = np.bincount(where.reshape(-1), np.r_[n, times], len(codes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["cell", "n"])
 
     cells = chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) * BUCKETS)
@@ -169,8 +171,11 @@ def train(docs: DataFrame, learns: Column, lang_col: str = "lang", text_col: str
     return Model(languages, counts.reshape(len(languages), BUCKETS).T)
 
 
-def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = None, text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the ``carry`` columns, lang_pred, score, and ``mixture`` (languages with their shares)."""
+def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = None, text_col: str = "text", mixture: bool = True) -> DataFrame:
+    """One row per row of ``docs``: the ``carry`` columns, lang_pred, score, and, if asked for, ``mixture`` (languages with their shares).
+
+    A carried column named ``__text`` is not possible.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(*(c.alias(k) for k, c in (carry or {}).items()), F.col(f"`{text_col}`").alias("__text"))
     kept = [f.name for f in src.schema if f.name != "__text"]
@@ -179,11 +184,13 @@ def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = No
         m = shared.value
         for part in pieces(batches, "__text", m.batch):
             names, score, shares = m.predict(part.column("__text"))
-            mixture = [[{"lang": m.languages[k], "share": float(row[k])} for k in np.argsort(-row, kind="stable").tolist() if row[k] >= 0.005] if ok != "und" else [] for row, ok in zip(shares, names, strict=True)]
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, kind)], names=[*kept, "lang_pred", "score", "mixture"])
+            columns = [*(part.column(k) for k in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())]
+            if mixture:
+                some = [[{"lang": m.languages[k], "share": float(row[k])} for k in np.argsort(-row, kind="stable").tolist() if row[k] >= 0.005] if ok != "und" else [] for row, ok in zip(shares, names, strict=True)]
+                columns.append(pa.array(some, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score", *["mixture"] * mixture])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"), "lang_pred string", "score double", "mixture array<struct<lang: string, share: double>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"), "lang_pred string", "score double", *["mixture array<struct<lang: string, share: double>>"] * mixture])
     return src.mapInArrow(run, schema)
 
 
