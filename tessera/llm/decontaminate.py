@@ -1,17 +1,18 @@
 """Benchmark decontamination by suffix arrays over shards of the corpus.
 
-A shard is a batch of whole documents. Passages that can hold a match (all
-windows' widths from positions whose next ``anchor`` words begin a window) are joined to
-one sequence of word numbers, its suffix array is built, and every benchmark
-suffix that can begin a match there is looked up by binary search. The range
-it finds lists all locations of its window; neighbouring windows on the same
-diagonal make the longest verbatim match.
+A shard is a batch of whole documents. All its words, as numbers in one
+sequence, get a suffix array (to the depth of a window; suffixes end with their
+document), and every distinct benchmark suffix, to that depth, is looked up in
+it by binary search; only those with a word that the shard does not have at all
+need no search. The range it finds lists all locations of its window;
+neighbouring windows on the same diagonal make the longest verbatim match.
 
 Defined cases: null texts and texts without words match nothing; an item of
 fewer words than the window is one window, one without words none; repeated
 documents get equal results; repeated items count once each by item_id (null
 ids count in no list). The benchmark is read in blocks of ``block_words``, so
-what is broadcast has a fixed bound; documents never shuffle with one block.
+what is broadcast has a fixed bound; with one block documents never shuffle,
+with more they are read once for each. No column of the input is reserved.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.suffix import suffix_array
-from tessera.llm.textkit import ALPHANUMERIC, Words, bytes_of, pieces, shingles
+from tessera.llm.suffix import suffix_ranks
+from tessera.llm.textkit import ALPHANUMERIC, Words, bytes_of, pieces
 
-BITS = 22
+#: pairs of a place in a shard and one in the benchmark that are held at a time, about
+PAIRS = 2_000_000
+#: item ids of a batch of results, about
+NAMES = 500_000
 
 
 class Windows:
@@ -38,7 +42,6 @@ class Windows:
         length = np.minimum(counts, width)
         self.width = width
         self.sizes = sorted(set(length[length > 0].tolist()))
-        self.anchor = min(4, *self.sizes) if self.sizes else 1
         start, item, size = [], [], []
         for k in self.sizes:
             which = np.flatnonzero(length == k)
@@ -56,16 +59,13 @@ class Windows:
         self.size = self.rows[:, -1].astype(np.int64)
         self.rows = np.ascontiguousarray(self.rows[:, :-1])
         owner = owner.reshape(-1).astype(np.int64)
-        order = np.argsort(owner, kind="stable")
-        self.items, self.starts = item[order], start[order]
-        self.edges = np.searchsorted(owner[order], np.arange(len(self.rows) + 1))
-        self.names = ids
-        anchors, _ = shingles(self.rows[:, : self.anchor].reshape(-1), np.array([0, len(self.rows) * self.anchor]), self.anchor) if len(self.rows) else (np.zeros(0, np.uint64), None)
-        anchors = anchors[:: self.anchor]
-        self.key = anchors
-        self.anchors = np.unique(anchors)
-        self.bitmap = np.zeros(1 << BITS, bool)
-        self.bitmap[(self.anchors >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        order = np.lexsort((start, item, owner))
+        self.items, self.starts, owner = item[order], start[order], owner[order]
+        self.edges = np.searchsorted(owner, np.arange(len(self.rows) + 1))
+        #: windows with their items as one ascending number, to find a range of items
+        self.n_items = max(1, len(ids))
+        self.places = owner * self.n_items + self.items
+        self.names = [None if x is None else str(x) for x in ids]
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -83,30 +83,15 @@ def search(texts: pa.Array, win: Windows) -> dict[str, np.ndarray]:
     if not len(win.rows) or not len(w):
         return none
     words = w.hashes()
-    grams, whole = shingles(words, w.first, win.anchor)
-    may = np.flatnonzero(win.bitmap[(grams >> np.uint64(64 - BITS)).astype(np.int64)] & whole)
-    may = may[_among(grams[may], win.anchors)]
-    if not len(may):
-        return none
-    # the passages that can hold a window, as one shorter sequence
     ends = np.repeat(w.first[1:], w.counts)
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, may, 1)
-    np.add.at(edge, np.minimum(may + win.width, ends[may]), -1)
-    at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    cut = np.r_[True, (np.diff(at) != 1) | (ends[at[1:]] != ends[at[:-1]])]
-    stop = np.r_[np.flatnonzero(cut)[1:], len(at)][np.cumsum(cut) - 1]
-    # word numbers that keep the order of the words in the benchmark
-    alphabet = np.unique(words[at])
-    ids = np.searchsorted(alphabet, words[at]) + 1
-    order = suffix_array(ids, stop)
-
-    ask = np.flatnonzero(_among(win.key, np.unique(grams[may])))
-    rows = win.rows[ask]
-    known = _among(rows.reshape(-1), alphabet).reshape(rows.shape)
-    inside = np.arange(win.width) < win.size[ask][:, None]
-    possible = (known | ~inside).all(axis=1)
-    ask, rows, inside = ask[possible], rows[possible], inside[possible]
+    alphabet, ids = np.unique(words, return_inverse=True)
+    ids = ids.reshape(-1) + 1
+    order = np.argsort(suffix_ranks(ids, ends, win.width), kind="stable")
+
+    known = _among(win.rows.reshape(-1), alphabet).reshape(win.rows.shape)
+    inside = np.arange(win.width) < win.size[:, None]
+    ask = np.flatnonzero((known | ~inside).all(axis=1))
+    rows, inside = win.rows[ask], inside[ask]
     if not len(ask):
         return none
     want = np.where(inside, np.searchsorted(alphabet, rows.reshape(-1)).reshape(rows.shape) + 1, 0)
@@ -124,7 +109,7 @@ def search(texts: pa.Array, win: Windows) -> dict[str, np.ndarray]:
                 if not todo.any():
                     break
                 p = suffix[todo] + t
-                have = np.where(p < stop[suffix[todo]], ids[p.clip(max=len(ids) - 1)], 0)
+                have = np.where(p < ends[suffix[todo]], ids[p.clip(max=len(ids) - 1)], 0)
                 state[todo] = np.sign(have - want[todo, t])
             right = (state < 0) | (upper & (state == 0))
             low = np.where(live & right, mid + 1, low)
@@ -134,47 +119,73 @@ def search(texts: pa.Array, win: Windows) -> dict[str, np.ndarray]:
     low, high = bisect(False), bisect(True)
     n = high - low
     found = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    place = at[order[found]]
+    place = order[found]
     doc = np.searchsorted(w.first, place, side="right") - 1
-    return none | {"doc": doc, "pos": place - w.first[doc], "window": np.repeat(ask, n), "place": place, "first": w.first, "n": len(words)}
+    return none | {"doc": doc, "pos": place - w.first[doc], "window": np.repeat(ask, n)}
+
+
+def _longest(doc: np.ndarray, pos: np.ndarray, window: np.ndarray, win: Windows, items: tuple[int, int], out: np.ndarray) -> None:
+    """Raises ``out`` to each document's longest match with an item of a range: runs of neighbouring windows on one diagonal."""
+    low, high = (np.searchsorted(win.places, window * win.n_items + k) for k in items)
+    n = high - low
+    hit = np.repeat(np.arange(len(doc)), n)
+    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    if not len(at):
+        return
+    item, diagonal, size = win.items[at], win.starts[at] - pos[hit], win.size[window][hit]
+    order = np.lexsort((pos[hit], diagonal, item, doc[hit]))
+    d, i, g, p, k = doc[hit][order], item[order], diagonal[order], pos[hit][order], size[order]
+    head = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(g) != 0) | (np.diff(p) != 1)])
+    np.maximum.at(out, d[head], np.diff(np.r_[head, len(d)]) + k[head] - 1)
 
 
-def verdicts(texts: pa.Array, win: Windows) -> dict[str, list]:
-    """For each text: words, covered spans as start and end, longest verbatim match in words, and item ids."""
+def verdicts(texts: pa.Array, win: Windows) -> Iterator[dict[str, list]]:
+    """For each text: words, covered spans as start and end, longest verbatim match in words, and item ids; a range of texts at a time."""
     got = search(texts, win)
     n_docs = len(texts)
-    out = {"n_words": got["counts"], "spans": [[] for _ in range(n_docs)], "longest": np.zeros(n_docs, np.int64), "items": [[] for _ in range(n_docs)]}
-    if not len(got["doc"]):
-        return out
     order = np.lexsort((got["pos"], got["doc"]))
     doc, pos, window = (got[k][order] for k in ("doc", "pos", "window"))
-    size = win.size[window]
-    # every place of every window in the benchmark; runs of neighbours on one diagonal are one verbatim match
-    n = win.edges[window + 1] - win.edges[window]
-    hit = np.repeat(np.arange(len(doc)), n)
-    at = np.repeat(win.edges[window] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    item, diagonal = win.items[at], win.starts[at] - pos[hit]
-    order = np.lexsort((pos[hit], diagonal, item, doc[hit]))
-    d, i, g, p, k = doc[hit][order], item[order], diagonal[order], pos[hit][order], size[hit][order]
-    head = np.flatnonzero(np.r_[True, (np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(g) != 0) | (np.diff(p) != 1)])
-    length = np.diff(np.r_[head, len(d)]) + k[head] - 1
-    np.maximum.at(out["longest"], d[head], length)
-    for x, y in np.unique(np.stack([d, i]), axis=1).T.tolist():
-        if win.names[y] is not None:
-            out["items"][x].append(str(win.names[y]))
-    for begin, end in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[np.flatnonzero(np.r_[True, np.diff(doc) != 0]), len(doc)]), strict=True):
-        p, e = pos[begin:end], pos[begin:end] + size[begin:end]
-        reach = np.maximum.accumulate(e)
-        head = np.r_[True, p[1:] > reach[:-1]]
-        last = np.r_[np.flatnonzero(head)[1:] - 1, len(p) - 1]
-        out["spans"][doc[begin]] = np.stack([p[head], reach[last]], axis=1).reshape(-1).tolist()
-        out["items"][doc[begin]] = sorted(set(out["items"][doc[begin]]))
-    return out
+    size, pairs = win.size[window], win.edges[window + 1] - win.edges[window]
+    edges = np.searchsorted(doc, np.arange(n_docs + 1))
+    longest = np.zeros(n_docs, np.int64)
+    total = np.r_[0, np.cumsum(pairs)]
+    first = 0
+    while first < n_docs:  # documents in ranges, and items of one document in ranges, so that few pairs are held
+        last = max(first + 1, int(np.searchsorted(total[edges], total[edges[first]] + PAIRS, side="right")) - 1)
+        mine = slice(edges[first], edges[last])
+        step = max(1, int(win.n_items * PAIRS // max(PAIRS, total[edges[last]] - total[edges[first]])))
+        for k in range(0, win.n_items, step) if edges[last] > edges[first] else ():
+            _longest(doc[mine], pos[mine], window[mine], win, (k, min(k + step, win.n_items)), longest)
+        first = last
+    begin, out, held = 0, {"spans": [], "items": []}, 0
+
+    def done(stop: int) -> dict[str, list]:
+        return out | {"begin": begin, "n_words": got["counts"][begin:stop], "longest": longest[begin:stop]}
+
+    for d in range(n_docs):
+        mine = slice(edges[d], edges[d + 1])
+        names: set = set()
+        spans: list = []
+        if edges[d] < edges[d + 1]:
+            for x in np.unique(window[mine]):
+                names.update(win.names[k] for k in np.unique(win.items[win.edges[x] : win.edges[x + 1]]))
+            names.discard(None)
+            reach = np.maximum.accumulate(pos[mine] + size[mine])
+            head = np.r_[True, pos[mine][1:] > reach[:-1]]
+            spans = np.stack([pos[mine][head], reach[np.r_[np.flatnonzero(head)[1:] - 1, len(reach) - 1]]], axis=1).reshape(-1).tolist()
+        out["spans"].append(spans)
+        out["items"].append(sorted(names))
+        held += len(names)
+        if held > NAMES:
+            yield done(d + 1)
+            begin, out, held = d + 1, {"spans": [], "items": []}, 0
+    if begin < n_docs:
+        yield done(n_docs)
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list]:
     """The benchmark's rows, at most about ``block_words`` words at a time on the driver."""
-    b = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").alias("text"))
+    b = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").alias("text")).distinct()  # so that repeated items do not make a block large
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // (4 * block_words)))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
@@ -209,12 +220,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
-            v = verdicts(part.column("text"), shared.value)
-            hit = [sum(s[1::2]) - sum(s[::2]) for s in v["spans"]]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array(v["n_words"], pa.int64()), pa.array(hit, pa.int64()), pa.array(v["longest"], pa.int64()), pa.array(v["spans"], pa.list_(pa.int32())), pa.array(v["items"], pa.list_(pa.string()))],
-                names=["doc_id", "key", "n_words", "n_hit", "longest_match", "spans", "item_ids"],
-            )
+            for v in verdicts(part.column("text"), shared.value):
+                some = part.slice(v["begin"], len(v["spans"]))
+                hit = [sum(x[1::2]) - sum(x[::2]) for x in v["spans"]]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), some.column("key"), pa.array(v["n_words"], pa.int64()), pa.array(hit, pa.int64()), pa.array(v["longest"], pa.int64()), pa.array(v["spans"], pa.list_(pa.int32())), pa.array(v["items"], pa.list_(pa.string()))],
+                    names=["doc_id", "key", "n_words", "n_hit", "longest_match", "spans", "item_ids"],
+                )
 
     return run
 

@@ -43,6 +43,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "longest_match",
+        F.array_min("spans").cast("long").alias("first_hit"),
     )
 
 
@@ -58,7 +60,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs, F.expr(LEARNS_LANGUAGE))
     held_out = F.coalesce(~F.expr(LEARNS_LANGUAGE), F.lit(False))
-    return language.identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out}).drop("mixture")
+    return language.identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out}, mixture=False)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,18 +114,21 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 ORACLE: dict[str, str] = {
     "op2_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
-       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+bp AS (SELECT b, item_id, i AS j, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+       FROM (SELECT b, item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+bw AS (SELECT DISTINCT item_id, k, g FROM bp),
 ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
        FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT r, i, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
-hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+runs AS (SELECT r, b, i - j AS g, i - row_number() OVER (PARTITION BY r, b, i - j ORDER BY i) AS s, dw.k FROM dw JOIN bp ON dw.k = bp.k AND dw.g = bp.g),
+far AS (SELECT r, max(n) AS n FROM (SELECT r, count(*) + k - 1 AS n FROM runs GROUP BY r, b, g, s, k) GROUP BY r),
+hit AS (SELECT r, count(DISTINCT p) AS n, min(p) - 1 AS a FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
 it AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+       sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated, CAST(coalesce(far.n, 0) AS BIGINT) AS longest_match, CAST(hit.a AS BIGINT) AS first_hit
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN far USING (r)""",
     "op4_near_duplicates": f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_NON_SPACE}) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
