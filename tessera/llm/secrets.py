@@ -1,8 +1,9 @@
 """Secret scans: candidate tokens, judged by a random forest.
 
 A candidate is a value assigned to a secret's name, whatever its characters and
-length; a run with a known prefix; or a maximal run of letters, digits and
-``+ / _ -`` with a digit and LEAST characters or more. Its length, character transitions, dictionary
+length; a private key block; a run with a known prefix, and what follows it in
+a signed token; or a maximal run of letters, digits and ``+ / _ -`` with a digit
+and LEAST characters or more. Its length, character transitions, dictionary
 coverage, path and neighbouring words go to a forest that was trained on
 labelled findings and drops false positives. The forest lies in flat arrays
 and is walked by column expressions, so a scan is one pass without a shuffle.
@@ -32,12 +33,18 @@ TREES, DEPTH = 24, 7
 _RUN = "[A-Za-z0-9+/_-]"
 _NAMES = "secret|token|passw|pwd|api.?key|auth|credential|private|bearer|access"
 _PREFIX = "(?:AKIA|ASIA|ghp_|gho_|glpat-|sk_live|sk-|xox[abp]-|AIza|eyJ)"
+_BLOCK = "[A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+#: key blocks are far shorter; the bound keeps openings without an end from costing the whole text each
+_PEM = rf"-----BEGIN {_BLOCK}[^\x00]{{0,65536}}?-----END {_BLOCK}"
+_SIGNED = rf"eyJ{_RUN}++(?:\.{_RUN}++){{1,2}}"
+_KNOWN = f"(?:{_PREFIX}|-----BEGIN )"
 #: what stands before an assigned value; the first part is cheap and fails at most places
 _ASSIGNED = r"[:=][ \t]{0,3}[\"'(]{0,2}"
 _ASKED = rf"(?i:{_NAMES})[A-Za-z0-9_.-]{{0,16}}[\"'\])]{{0,2}}[ \t]{{0,3}}:?{_ASSIGNED}"
 _VALUE = r"[^\s\"'`,;()<>\[\]{}]"
 CANDIDATE = (
-    rf"(?<={_ASSIGNED})(?<={_ASKED})(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|(?![:=]){_VALUE}*[^\s\"'`,;()<>\[\]{{}}.?:])"
+    rf"{_PEM}|(?<!{_RUN}){_SIGNED}"
+    rf"|(?<={_ASSIGNED})(?<={_ASKED})(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|(?![:=]){_VALUE}*[^\s\"'`,;()<>\[\]{{}}.?:])"
     rf"|(?<!{_RUN}){_PREFIX}{_RUN}++"
     rf"|(?<!{_RUN})[A-Za-z+/_-]*+[0-9]{_RUN}*+"
 )
@@ -83,7 +90,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         flag(after, r"^[\"']"),
         flag(path, r"(?i)(test|example|sample|fixture|mock|spec|readme|docs?/)"),
         flag(path, r"(?i)(\.env|config|settings|secret|credential|\.ya?ml|\.ini|\.tf)"),
-        flag(value, f"^{_PREFIX}"),
+        flag(value, f"^{_KNOWN}"),
         flag(value, "^[0-9]+$"),
         share("[^A-Za-z0-9+/_ -]"),
         share(" "),
@@ -146,6 +153,12 @@ def assigned_findings(rows: int = ROWS, seed: int = 12) -> list[dict]:
     shuffled = lambda s: "".join(s[i] for i in rng.permutation(len(s)))
     out = []
     for _ in range(rows):
+        if rng.random() < 0.05:  # key blocks and signed tokens need no name
+            mixed = lambda n: chars(lower + upper + digits, n)
+            block = pick(["RSA ", "EC ", "", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY-----"
+            value = pick([f"-----BEGIN {block}\n" + "\n".join(mixed(64) for _ in range(int(rng.integers(2, 20)))) + f"\n-----END {block}", f"eyJ{mixed(20)}.eyJ{mixed(60)}.{mixed(43)}"])
+            out.append({"value": value, "before": pick([pick(words) + " ", "\n", "key: ", ""]), "after": pick(["\n", " ", "", '"']), "path": pick(paths), "label": 1})
+            continue
         good, kind = rng.random() < 0.5, int(rng.integers(4))
         opening = pick([' = "', "=", ": ", " = '", ': "', " = "])
         before = pick(words) + " " + pick(names) + opening
@@ -207,7 +220,7 @@ _forests: dict[str, dict] = {}
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None) -> dict[str, list]:
-    """A forest from labelled findings (the made ones by default); rows with nulls teach nothing."""
+    """A forest from labelled findings (the made ones by default); rows with nulls teach nothing, and without rows nothing is a secret."""
     if labelled is None and "made" in _forests:
         return _forests["made"]
     rows = labelled
@@ -216,6 +229,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> dict[str, l
         rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(labelled_findings() + assigned_findings())), kind)))
     # equal rows in whatever order and number of partitions give an equal forest
     got = rows.dropna(subset=["value", "before", "after", "path", "label"]).select(features(*(F.col(c) for c in ("value", "before", "after", "path"))).alias("x"), F.col("label").cast("double").alias("y")).orderBy(F.xxhash64("value", "before"), "y").limit(MOST_LABELLED).collect()
+    if not got:
+        return {"roots": [0], "feature": [-1], "cut": [0.0], "left": [0], "right": [0], "share": [0.0]}
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got])
     order = np.lexsort((*x.T, y))
     forest = grow_forest(x[order], y[order])
@@ -254,7 +269,7 @@ def scan(docs: DataFrame, forest: dict[str, list] | None = None, text_col: str =
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
     pattern = F.lit(CANDIDATE)
     # matches of the last part of the pattern alone need the length
-    known = lambda t: (F.length(t) >= LEAST) | t.rlike(f"^{_PREFIX}")
+    known = lambda t: (F.length(t) >= LEAST) | t.rlike(f"^{_KNOWN}")
     asked = rf"(?:{_ASKED})"
     kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row") if keep else F.lit(None).alias("_row")
     one = docs.select(kept, text.alias("_text"), path.alias("_path"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("_tokens"))
