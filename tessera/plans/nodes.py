@@ -2,8 +2,9 @@
 
 ``{"scan": table, "columns": [...]}``, ``{"filter": pred, "input": ...}``,
 ``{"project": {name: expr}, "input": ...}``, ``{"aggregate": {"by": [...],
-"measures": [...]}, "input": ...}``, ``{"join": {...}, "left": ..., "right":
-...}``, ``{"sort": [...], "limit": n, "offset": n, "input": ...}``,
+"measures": [...], "grouping": "sets", "sets": [...]}, "input": ...}``,
+``{"join": {...}, "left": ..., "right": ...}`` (without keys, its residual is
+the whole condition), ``{"sort": [...], "limit": n, "offset": n, "input": ...}``,
 ``{"exchange": {"keys": [...], "partitions": n}, "input": ...}`` and
 ``{"set": "union", "left": ..., "right": ...}``.
 """
@@ -37,13 +38,16 @@ def compile_plan(plan: dict | str, registry: Registry, context: SessionContext |
             return again("input").select(*(expression(e, context).alias(n) for n, e in columns.items()))
         case {"aggregate": dict(spec), "input": _}:
             measures = [
-                Measure(m["function"], expression(m["of"], context) if "of" in m else None, m.get("name"), expression(m["where"], context) if "where" in m else None, m.get("distinct", False))
+                Measure(
+                    m["function"], expression(m["of"], context) if "of" in m else None, m.get("name"), expression(m["where"], context) if "where" in m else None,
+                    m.get("distinct", False), expression(m["order"], context) if "order" in m else None, m.get("descending", False), m.get("share"),
+                )
                 for m in spec.get("measures", [])
             ]
-            return aggregate(again("input"), spec.get("by", []), measures, spec.get("grouping", "plain"))
+            return aggregate(again("input"), spec.get("by", []), measures, spec.get("grouping", "plain"), spec.get("sets", ()))
         case {"join": dict(spec), "left": _, "right": _}:
             residual = expression(spec["residual"], context) if "residual" in spec else None
-            return join(again("left"), again("right"), spec["left_keys"], spec.get("right_keys"), spec.get("kind", "inner"), residual)
+            return join(again("left"), again("right"), spec.get("left_keys", ()), spec.get("right_keys"), spec.get("kind", "inner"), residual)
         case {"sort": list(keys), "input": _}:
             return sort(again("input"), [SortKey(**k) if isinstance(k, dict) else SortKey(k) for k in keys], node.get("limit"), node.get("offset", 0))
         case {"exchange": dict(spec), "input": _}:

@@ -148,13 +148,36 @@ PLAN = {
 }
 
 
+def _registry(t: Tables, *names: str) -> Registry:
+    registry = Registry(t.spark, t.sf_dir)
+    for name in names:
+        registry.register(name, {"store_key": f"{name}.parquet"})
+    return registry
+
+
 @query("""SELECT o_orderpriority, max(l_extendedprice * (1 - l_discount)) AS revenue, count(*) AS n, CASE WHEN starts_with(o_orderpriority, '1') THEN 'yes' ELSE 'no' END AS urgent
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 25 AND l_returnflag IN ('A', 'N') GROUP BY o_orderpriority ORDER BY revenue DESC, o_orderpriority LIMIT 3""")
 def plan_tree(t: Tables) -> DataFrame:
-    registry = Registry(t.spark, t.sf_dir)
-    for name in ("lineitem", "orders"):
-        registry.register(name, {"store_key": f"{name}.parquet"})
-    return compile_plan(PLAN, registry)
+    return compile_plan(PLAN, _registry(t, "lineitem", "orders"))
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) FILTER (WHERE 1000 < o_totalprice) AS most,
+first(o_custkey ORDER BY o_totalprice DESC, o_custkey DESC) AS best FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))""")
+def plan_sets(t: Tables) -> DataFrame:
+    measures = [
+        {"function": "count", "name": "n"},
+        {"function": "max", "of": ["col", "o_totalprice"], "name": "most", "where": ["<", ["lit", 1000.0], ["col", "o_totalprice"]]},
+        {"function": "first", "of": ["col", "o_custkey"], "name": "best", "order": ["col", "o_totalprice"], "descending": True},
+    ]
+    by = {"by": ["o_orderstatus", "o_orderpriority"], "grouping": "sets", "sets": [["o_orderstatus"], ["o_orderpriority"]], "measures": measures}
+    return compile_plan({"aggregate": by, "input": {"scan": "orders"}}, _registry(t, "orders"))
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey > r_regionkey")
+def plan_theta(t: Tables) -> DataFrame:
+    on = {"residual": [">", ["col", "n_regionkey"], ["col", "r_regionkey"]]}
+    both = {"join": on, "left": {"scan": "nation"}, "right": {"scan": "region"}}
+    return compile_plan({"project": {"n_name": ["col", "n_name"], "r_name": ["col", "r_name"]}, "input": both}, _registry(t, "nation", "region"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(NULL AS DOUBLE) AS discount FROM customer")

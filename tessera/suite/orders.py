@@ -263,6 +263,23 @@ def agg_spread(t: Tables) -> DataFrame:
     return out.withColumns({"s": F.round("s", 6), "v": F.round("v", 6), "vp": F.round("vp", 8), "mid": F.round("mid", 4)})
 
 
+@query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, first(l_extendedprice ORDER BY l_quantity, l_extendedprice) AS least,
+last(l_extendedprice ORDER BY l_quantity, l_extendedprice) FILTER (WHERE l_tax < 0.05) AS most FROM lineitem GROUP BY l_returnflag""")
+def agg_ordered(t: Tables) -> DataFrame:
+    measures = [
+        Measure("percentile", "l_extendedprice", "p90", share=0.9),
+        Measure("first", "l_extendedprice", "least", order="l_quantity"),
+        Measure("last", "l_extendedprice", "most", where=F.col("l_tax") < 0.05, order="l_quantity"),
+    ]
+    return aggregate(t.lineitem, ["l_returnflag"], measures).withColumn("p90", F.round("p90", 4))
+
+
+@query("SELECT n_regionkey, array_to_string(list(n_name ORDER BY n_nationkey DESC), ',') AS names FROM nation GROUP BY n_regionkey")
+def agg_list(t: Tables) -> DataFrame:
+    lists = aggregate(t.nation, ["n_regionkey"], [Measure("list", "n_name", "names", order="n_nationkey", descending=True)])
+    return lists.withColumn("names", F.array_join("names", ","))
+
+
 @query("SELECT count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem")
 def count_distinct(t: Tables) -> DataFrame:
     return t.lineitem.agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
@@ -298,9 +315,9 @@ def select_distinct(t: Tables) -> DataFrame:
 
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(sum(l_quantity), 4) AS q, (grouping(l_returnflag) * 2 + grouping(l_linestatus))::BIGINT AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
 def grouping_sets(t: Tables) -> DataFrame:
-    lines = t.lineitem
-    sets = lines.groupingSets([["l_returnflag", "l_linestatus"], ["l_linenumber"], []], "l_returnflag", "l_linestatus", "l_linenumber")
-    return sets.agg(rows(), total("l_quantity", "q"), (F.grouping("l_returnflag") * 2 + F.grouping("l_linestatus")).cast("bigint").alias("g"))
+    measures = [Measure("count", None, "n"), Measure("sum", "l_quantity", "q"), Measure("grouping", "l_returnflag", "a"), Measure("grouping", "l_linestatus", "b")]
+    out = aggregate(t.lineitem, ["l_returnflag", "l_linestatus", "l_linenumber"], measures, "sets", [["l_returnflag", "l_linestatus"], ["l_linenumber"], []])
+    return out.select("l_returnflag", "l_linestatus", "l_linenumber", "n", F.round("q", 4).alias("q"), (F.col("a") * 2 + F.col("b")).cast("bigint").alias("g"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

@@ -96,8 +96,31 @@ def test_salted_sum(spark):
 
 
 def test_unknown_aggregate(spark):
-    with pytest.raises(EngineError):
-        aggregate(spark.range(1), [], [Measure("median_of_medians", "id")])
+    for bad in (Measure("median_of_medians", "id"), Measure("list", "id"), Measure("percentile", "id")):
+        with pytest.raises(EngineError):
+            aggregate(spark.range(1), [], [bad])
+
+
+def test_ordered_measures(spark):
+    df = spark.createDataFrame([("a", 2, 20), ("a", 1, None), ("a", 2, 30), ("a", None, 5), ("b", None, 7)], "k string, o int, v int")
+    out = aggregate(df, ["k"], [Measure("first", "v", "f", order="o"), Measure("last", "v", "l", order="o"), Measure("first", "v", "fd", order="o", descending=True), Measure("list", "v", "all", order="o"), Measure("list", "v", "big", where=F.col("v") > 5, order="o", descending=True)])
+    assert ids(out, "k", "f", "l", "fd", "all", "big") == [("a", None, 30, 30, [5, None, 20, 30], [30, 20]), ("b", None, None, None, [7], [7])]
+    assert aggregate(df.filter("false"), [], [Measure("list", "v", "all", order="o"), Measure("last", "v", "l", order="o")]).collect() == [([], None)]
+
+
+def test_percentiles(spark):
+    df = spark.range(1, 12).select(F.col("id").cast("double").alias("v"))
+    out = aggregate(df, [], [Measure("percentile", "v", "p", share=0.25), Measure("approx_percentile", "v", "a", share=0.5)])
+    assert tuple(out.first()) == (3.5, 6.0)
+
+
+def test_grouping_sets(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 2)], "k string, n int")
+    out = aggregate(df, ["k", "n"], [Measure("count", None, "c"), Measure("grouping", "k", "g")], "sets", [["k"], ["n"]])
+    assert ids(out, "k", "n", "c", "g") == sorted([("a", None, 2, 0), (None, None, 1, 0), (None, 1, 1, 1), (None, 2, 2, 1)], key=repr)
+    for sets in ([], [["other"]]):
+        with pytest.raises(EngineError):
+            aggregate(df, ["k", "n"], [Measure("count", None, "c")], "sets", sets)
 
 
 def test_sort_nulls_ties_and_pages(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.access import Mask, Policy
 from tessera.context import SessionContext, current_role, current_user, is_member_of
-from tessera.errors import EngineError, MissingIdentity, ModelError, UnknownColumn
+from tessera.errors import EngineError, ErrorClass, MissingIdentity, ModelError, UnknownColumn, classify
 from tessera.functions import strings as S
 from tessera.operators.sorting import SortKey
 from tessera.plans.expressions import expression
@@ -17,6 +17,7 @@ from tessera.plans.nodes import compile_plan
 from tessera.semantic.catalog import Catalog, Query, ask
 from tessera.semantic.model import Metric, parse
 from tessera.sources.registry import Registry
+from tessera.session import Switches, switched
 from tessera.stats import observed
 from tessera.streaming.events import event_stream, windowed_counts
 
@@ -186,7 +187,47 @@ def test_statistics(spark):
     assert json.loads(lines[0])["rows"] == 7
     with pytest.raises(ZeroDivisionError):
         observed("bad", spark.range(1), lambda d: 1 / 0, lines.append)
-    assert json.loads(lines[1])["error"] == "ZeroDivisionError"
+    assert json.loads(lines[1])["error"] == "ZeroDivisionError" and json.loads(lines[1])["error_class"] == "internal"
+
+
+def test_statistics_of_the_work_done(spark, tmp_path):
+    p, lines = str(tmp_path / "t"), []
+    spark.range(10_000).select("id", (F.col("id") % 7).alias("k")).repartition(3).write.parquet(p)
+    observed("q", spark.read.parquet(p).groupBy("k").count(), lambda d: d.collect(), lines.append)
+    observed("local", spark.createDataFrame([(1,)], "a int"), lambda d: d.collect(), lines.append)
+    got, after = map(json.loads, lines)
+    assert got["rows"] == 7 and got["bytes_read"] > 0 and got["shuffle_bytes"] > 0 and got["tasks"] >= got["stages"] >= 2
+    assert got["executors"] == ["driver"] and got["fallback"] == [] and got["error"] is None
+    assert after["shuffle_bytes"] == 0 and after["stages"] <= 1  # the work of other queries is not counted
+
+
+def test_error_classes(spark):
+    def of(f):
+        with pytest.raises(Exception) as e:
+            f()
+        return classify(e.value)
+
+    assert of(lambda: spark.sql("SELECT * FROM no_such_table")) is of(lambda: spark.read.parquet("/no/such/place")) is of(lambda: spark.sql("SELECT b FROM range(3)")) is ErrorClass.NOT_FOUND
+    assert of(lambda: spark.sql("SELEC 1")) is of(lambda: spark.sql("SELECT CAST('a' AS INT)").collect()) is of(lambda: spark.sql("SELECT 1 / 0").collect()) is ErrorClass.USER
+    assert classify(EngineError("x")) is classify(ModelError("x")) is ErrorClass.USER and classify(UnknownColumn("x")) is ErrorClass.NOT_FOUND
+    assert classify(MissingIdentity("x")) is classify(RuntimeError("AccessControlException: Permission denied")) is ErrorClass.DENIED
+    short = classify(RuntimeError("ExecutorLostFailure (executor 3 exited)"))
+    assert short is ErrorClass.RESOURCES and short.retryable and not ErrorClass.USER.retryable and classify(KeyError("x")) is ErrorClass.INTERNAL
+
+
+def test_switches_change_plans_and_no_results(spark, tmp_path):
+    p = str(tmp_path / "t")
+    spark.range(1_000).select("id", (F.col("id") % 5).alias("k")).write.parquet(p)
+    ask_ = lambda s: s.read.parquet(p).filter("id < 500").groupBy("k").count()
+    plain = switched(spark, Switches(acceleration=False))
+    one = switched(spark, Switches(split_bytes=1 << 12, single_task=True))
+    assert rows(ask_(spark)) == rows(ask_(plain)) == rows(ask_(one))
+    tree = lambda s: ask_(s)._jdf.queryExecution().executedPlan().toString()
+    assert "AdaptiveSparkPlan" in tree(spark) and "AdaptiveSparkPlan" not in tree(plain) and "*(" not in tree(plain)  # no replanning, no generated code
+    assert plain.conf.get("spark.sql.parquet.filterPushdown") == "false" and spark.conf.get("spark.sql.parquet.filterPushdown") == "true"
+    assert one.read.parquet(p).rdd.getNumPartitions() > spark.read.parquet(p).rdd.getNumPartitions()
+    assert one.conf.get("spark.sql.shuffle.partitions") == "1" != spark.conf.get("spark.sql.shuffle.partitions")
+    assert one.conf.get("spark.sql.ansi.enabled") == "true"
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):

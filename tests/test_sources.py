@@ -31,6 +31,19 @@ def test_scan_prunes_and_pushes(spark, tmp_path):
     assert row_count(spark, p) == 500 and row_count(spark, p, F.col("id") < 10) == 10
 
 
+@pytest.mark.parametrize("fmt", ["orc", "json", "csv"])
+def test_other_formats(spark, tmp_path, fmt):
+    p = str(tmp_path / fmt)
+    rows = [(1, "x", 1.5), (2, None, None), (3, "a,\"b\"", -2.0)]
+    schema = StructType().add("id", LongType()).add("name", StringType()).add("value", DoubleType())
+    spark.createDataFrame(rows, schema).write.format(fmt).save(p)
+    df = scan(spark, p, schema, columns=["name"], where=F.col("id") >= 2, fmt=fmt)
+    assert sorted(map(tuple, df.collect()), key=repr) == [("a,\"b\"",), (None,)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,2)" in plan and "ReadSchema: struct<id:bigint,name:string>" in plan
+    assert scan(spark, p, schema, fmt=fmt).count() == 3
+
+
 def test_no_files(spark):
     schema = StructType().add("id", IntegerType())
     assert scan(spark, [], schema).count() == 0
