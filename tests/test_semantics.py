@@ -220,7 +220,7 @@ def test_switches_change_plans_and_no_results(spark, tmp_path):
     spark.range(1_000).select("id", (F.col("id") % 5).alias("k")).write.parquet(p)
     ask_ = lambda s: s.read.parquet(p).filter("id < 500").groupBy("k").count()
     plain = switched(spark, Switches(acceleration=False))
-    one = switched(spark, Switches(split_bytes=1 << 12, single_task=True))
+    one = switched(spark, Switches(split_bytes=1 << 10, single_task=True))
     assert rows(ask_(spark)) == rows(ask_(plain)) == rows(ask_(one))
     tree = lambda s: ask_(s)._jdf.queryExecution().executedPlan().toString()
     assert "AdaptiveSparkPlan" in tree(spark) and "AdaptiveSparkPlan" not in tree(plain) and "*(" not in tree(plain)  # no replanning, no generated code
