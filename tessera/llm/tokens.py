@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm.textkit import pieces
 
 SPACE = "▁"
+#: pre-tokens of one text that are strings at one time
+AT_A_TIME = 500_000
 #: pre-tokens that a worker remembers at most
 MEMO = 300_000
 #: a longer pre-token is merged but not remembered
@@ -64,10 +67,26 @@ class Counter(dict):
         return self._merge([pre])[0]
 
     def count(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text."""
-        # a space mark in a text is a space to the model, and every text begins with one
-        parts = [_PRE.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        here = {p for p in set().union(*parts) if len(p) <= LONGEST}
+        """Tokens of each text. Pre-tokens of a longer text are made and counted AT_A_TIME, so they take bounded memory."""
+        out, waiting, owners = [0] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            # a space mark in a text is a space to the model, and every text begins with one
+            text = " " + text.replace(SPACE, " ")
+            if len(text) <= AT_A_TIME:
+                some = _PRE.findall(text)
+                waiting += some
+                owners.append((i, len(some)))
+                continue
+            rest = _PRE.finditer(text)
+            while some := [m[0] for m in islice(rest, AT_A_TIME)]:
+                self._add(out, some, [(i, len(some))])
+        self._add(out, waiting, owners)
+        return out
+
+    def _add(self, out: list[int], pres: list[str], owners: list[tuple[int, int]]) -> None:
+        here = {p for p in set(pres) if len(p) <= LONGEST}
         rest = list(here - self.keys())
         if len(self) + len(rest) > MEMO:
             self._reset()
@@ -75,7 +94,10 @@ class Counter(dict):
         for begin in range(0, len(rest), 50_000):
             some = rest[begin : begin + 50_000]
             self.update(zip(some, self._merge(some), strict=True))
-        return [sum(map(self.__getitem__, p)) for p in parts]
+        at = 0
+        for i, n in owners:
+            out[i] += sum(map(self.__getitem__, pres[at : at + n]))
+            at += n
 
 
 def token_counts(docs: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
