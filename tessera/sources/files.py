@@ -61,9 +61,10 @@ def list_files(spark: SparkSession, uri: str, suffix: str = ".parquet") -> list[
 _BY_METADATA = "org.apache.spark.sql.execution.datasources.v2.parquet.ParquetDataSourceV2"
 
 
-def by_metadata(spark: SparkSession, uri: str) -> DataFrame:
-    """A scan whose unconditional counts read footers only."""
-    return spark.read.format(_BY_METADATA).load(resolve_uri(uri))
+def by_metadata(spark: SparkSession, uri: str, schema: StructType | None = None) -> DataFrame:
+    """A scan whose unconditional counts read footers only. A schema that is known saves a look at the files."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.format(_BY_METADATA).load(resolve_uri(uri))
 
 
 def row_count(spark: SparkSession, uris: str | Sequence[str], where: Column | None = None) -> int:

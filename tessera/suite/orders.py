@@ -17,7 +17,7 @@ def revenue():
 
 @query("SELECT count(*) AS n FROM lineitem")
 def scan_count(t: Tables) -> DataFrame:
-    return by_metadata(t.spark, f"{t.sf_dir}/lineitem.parquet").agg(rows())
+    return by_metadata(t.spark, f"{t.sf_dir}/lineitem.parquet", t.lineitem.schema).agg(rows())
 
 
 @query("SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25 AND l_discount < 0.05")
