@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.errors import EngineError
+from tessera.llm import scratch
 from tessera.llm.textkit import NON_SPACE, U64, Words, bytes_of, mix, pieces
 
 #: n-gram buckets of a model
@@ -172,25 +173,23 @@ def train(docs: DataFrame, learns: Column, lang_col: str = "lang", text_col: str
 
 
 def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = None, text_col: str = "text", mixture: bool = True) -> DataFrame:
-    """One row per row of ``docs``: the ``carry`` columns, lang_pred, score, and, if asked for, ``mixture`` (languages with their shares).
-
-    A carried column named ``__text`` is not possible.
-    """
+    """One row per row of ``docs``: the ``carry`` columns, lang_pred, score, and, if asked for, ``mixture`` (languages with their shares)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*(c.alias(k) for k, c in (carry or {}).items()), F.col(f"`{text_col}`").alias("__text"))
-    kept = [f.name for f in src.schema if f.name != "__text"]
+    text = scratch.free_name(carry or (), "__text")
+    src = docs.select(*(c.alias(k) for k, c in (carry or {}).items()), F.col(f"`{text_col}`").alias(text))
+    kept = [f.name for f in src.schema if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in pieces(batches, "__text", m.batch):
-            names, score, shares = m.predict(part.column("__text"))
+        for part in pieces(batches, text, m.batch):
+            names, score, shares = m.predict(part.column(text))
             columns = [*(part.column(k) for k in kept), pa.array(names, pa.string()), pa.array(score, pa.float64())]
             if mixture:
                 some = [[{"lang": m.languages[k], "share": float(row[k])} for k in np.argsort(-row, kind="stable").tolist() if row[k] >= 0.005] if ok != "und" else [] for row, ok in zip(shares, names, strict=True)]
                 columns.append(pa.array(some, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score", *["mixture"] * mixture])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text"), "lang_pred string", "score double", *["mixture array<struct<lang: string, share: double>>"] * mixture])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != text), "lang_pred string", "score double", *["mixture array<struct<lang: string, share: double>>"] * mixture])
     return src.mapInArrow(run, schema)
 
 

@@ -30,8 +30,7 @@ Defined cases: a text without words (or null) has an empty set, links with
 nothing and is kept; fewer words than a shingle are one shingle; rows that
 share a doc_id are one document; rows with a null doc_id link with nothing,
 have a null component and are kept. Ids must be whole numbers, other types are
-an error. No column of the input is reserved but, in ``deduplicate``,
-``_tessera_gone``, ``_tessera_again`` and ``_row``.
+an error. No column of the input is reserved.
 """
 
 from __future__ import annotations
@@ -256,14 +255,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, and of rows that share an id one row."""
     verdict = scratch.table(near_duplicates(docs, id_col, text_col), "verdict")
-    gone = scratch.table(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_tessera_gone")).distinct(), "gone")
+    other, row = scratch.free_name(docs.columns, "_id"), scratch.free_name([id_col], "_row")
+    same = F.col(f"`{id_col}`").cast("long") == F.col(other)
+    gone = scratch.table(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias(other)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_tessera_gone"), "left_anti")
-    again = verdict.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_tessera_again"))
+    left = docs.join(gone, same, "left_anti")
+    again = verdict.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(other))
     again = scratch.table(again, "again")
     if again.isEmpty():
         return left
-    same = F.col(f"`{id_col}`").cast("long") == F.col("_tessera_again")
     twice = left.join(again, same, "left_semi")
-    choice = twice.groupBy(id_col).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"))).alias("_row"))
-    return left.join(again, same, "left_anti").unionByName(choice.select("_row.*"))
+    choice = twice.groupBy(F.col(f"`{id_col}`")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"))).alias(row))
+    return left.join(again, same, "left_anti").unionByName(choice.select(f"{row}.*"))

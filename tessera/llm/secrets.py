@@ -23,6 +23,8 @@ import json
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.llm import scratch
+
 LEAST = 16
 ROWS = 1_500
 MOST_LABELLED = 20_000
@@ -257,10 +259,10 @@ def forest_score(x: Column, forest: dict[str, list]) -> Column:
     return F.aggregate(_constant(forest["roots"], "int"), F.lit(0.0), leaf) / F.lit(float(len(forest["roots"])))
 
 
-def scan(docs: DataFrame, forest: dict[str, list] | None = None, text_col: str = "text", path_col: str | None = "source", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The ``keep`` columns of ``docs`` with ``findings`` and ``redacted`` as ``_tessera_found``.
+def scan(docs: DataFrame, forest: dict[str, list] | None = None, text_col: str = "text", path_col: str | None = "source", keep: list[str] | None = None, threshold: float = THRESHOLD, found_as: str = "_tessera_found") -> DataFrame:
+    """The ``keep`` columns of ``docs`` and a struct ``found_as``, whose name none of them may have.
 
-    ``_tessera_found`` is a struct: n_candidates; findings (start in characters, length, score, sha256 of the value); redacted, the text with findings masked.
+    It holds n_candidates; findings (start in characters, length, score, sha256 of the value); redacted, the text with findings masked.
     """
     spark = docs.sparkSession
     forest = forest or train(spark)
@@ -293,15 +295,17 @@ def scan(docs: DataFrame, forest: dict[str, list] | None = None, text_col: str =
         F.coalesce(F.size("_candidates"), F.lit(0)).cast("long").alias("n_candidates"),
         F.coalesce(report, F.array().cast("array<struct<start: int, length: int, score: double, sha256: string>>")).alias("findings"),
         F.when(F.coalesce(F.size("_bad"), F.lit(0)) > 0, masked).alias("redacted"),
-    ).alias("_tessera_found")
-    return five.select(*(F.col("_row")[c].alias(c) for c in keep), found)
+    ).alias(found_as)
+    # two steps: within one, a kept column would hide an inner one of its name
+    return five.select("_row", found).select(*(F.col("_row")[c].alias(c) for c in keep), F.col(f"`{found_as}`"))
 
 
 def redact(docs: DataFrame, forest: dict[str, list] | None = None, text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with secrets masked in the text, and its length brought up to date."""
-    text = F.coalesce(F.col("_tessera_found.redacted"), F.col(f"`{text_col}`"))
-    done = scan(docs, forest, text_col, path_col)
-    out = {text_col: text}
+    found = scratch.free_name(docs.columns, "_tessera_found")
+    done = scan(docs, forest, text_col, path_col, found_as=found)
+    redacted = F.col(f"{found}.redacted")
+    out = {text_col: F.coalesce(redacted, F.col(f"`{text_col}`"))}
     if length_col and length_col in docs.columns:
-        out[length_col] = F.when(F.col("_tessera_found.redacted").isNotNull(), F.length("_tessera_found.redacted").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
+        out[length_col] = F.when(redacted.isNotNull(), F.length(redacted).cast(docs.schema[length_col].dataType)).otherwise(F.col(f"`{length_col}`"))
     return done.select(*(out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -408,3 +408,22 @@ def test_scratch_goes_with_its_group(spark):
     assert other.count() == 2
     with pytest.raises(Exception):
         spark.read.parquet(kept.inputFiles()[0]).count()
+
+
+def test_names_of_inner_columns_are_free(spark):
+    ship(spark)
+    token = 'config token = "0123456789abcdef0123456789abcdef01234567" set'
+    near = "the quick brown fox jumps over the lazy dog again and again today"
+    rows = [(1, near), (2, near), (3, token), (4, None), (5, "two words"), (5, "two words")]
+    rest = ["_id", "_ID_", "_row", "_tessera_found", "__text", "_tokens", "a", "component_id"]
+    plain = spark.createDataFrame([(*r, "en", "s", 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.train(plain, F.lit(True))
+    docs = plain.select("*", *(F.lit(i).alias(n) for i, n in enumerate(rest)))
+    whole = lambda df: sorted(df.select("doc_id", "text").collect(), key=repr)
+    for step in (neardup.deduplicate, secrets.redact, lambda d: language.known_language(d, model)):
+        got = step(docs)
+        assert got.columns == docs.columns and whole(got) == whole(step(plain))
+        assert got.select(*rest).distinct().collect() == [tuple(range(len(rest)))]
+    carried = language.identify(docs, model, {n: F.col(n) for n in ("doc_id", "__text")}, mixture=False)
+    assert carried.columns == ["doc_id", "__text", "lang_pred", "score"] and {r["__text"] for r in carried.collect()} == {rest.index("__text")}
+    assert scratch.free_name(["A", "a_"], "a") == "a__"
